@@ -28,7 +28,7 @@ def null_if_in(c: Column, tokens: tuple[str, ...]) -> Column:
 
 def strip_text(c: Column) -> Column:
     """Remove every kind of white space at both ends (``trim`` removes blanks only)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
 
 
 def title_case(c: Column) -> Column:
@@ -49,9 +49,19 @@ def fill_unknown(c: Column) -> Column:
 
 def safe_name(c: Column) -> Column:
     """White space to ``_``, then only letters, digits, ``_``, ``.`` and ``-``."""
-    joined = F.regexp_replace(c, r"(?U)\s+", "_")
+    joined = F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", "_")
     return F.regexp_replace(joined, r"[^\p{L}\p{N}_.-]", "")
 
 
 def clean_name(c: Column) -> Column:
     return F.concat(F.lit("clean_"), safe_name(c))
+
+
+def printed(c: Column) -> Column:
+    """A double as plain decimal text, ``12345678.9`` where a cast gives ``1.23456789E7``."""
+    plain = c.cast("string")
+    size = F.abs(c)
+    wide = plain.cast("decimal(38,18)").cast("string")
+    trimmed = F.regexp_replace(F.regexp_replace(wide, r"0+$", ""), r"\.$", ".0")
+    scientific = ((size >= 1e7) & (size < 1e16)) | ((size >= 1e-4) & (size < 1e-3))
+    return F.when(scientific, trimmed).otherwise(plain)
