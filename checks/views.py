@@ -37,7 +37,7 @@ SELECT c_custkey AS custkey,
  CASE WHEN c_custkey % 5 > 0 THEN c_mktsegment ELSE 'NAN' END AS segment,
  CASE WHEN c_custkey % 7 > 1 THEN n_name END AS country,
  CASE WHEN c_custkey % 4 > 0 THEN c_acctbal / 8 END AS eighth,
- CASE WHEN c_custkey % 6 > 0 THEN lower(c_mktsegment) ELSE 'n/a' END AS segment_low,
+ CASE WHEN c_custkey % 11 > 0 THEN lower(c_mktsegment) ELSE 'n/a' END AS segment_low,
  CASE WHEN c_custkey % 9 > 3 THEN CAST(c_custkey % 40 AS DOUBLE) END AS grade
 FROM customer JOIN nation ON c_nationkey = n_nationkey
 """,
@@ -64,8 +64,8 @@ FROM part
 """,
     # Every given column as text, for type inference.
     "text_cells": """
-SELECT CAST(l_orderkey AS STRING) AS order_key, CAST(CAST(l_quantity AS BIGINT) AS STRING) AS quantity,
- CAST(CAST(l_extendedprice AS BIGINT) AS STRING) || '.25' AS price,
+SELECT CAST(l_orderkey AS STRING) AS order_key, CAST(CAST(floor(l_quantity) AS BIGINT) AS STRING) AS quantity,
+ CAST(CAST(floor(l_extendedprice) AS BIGINT) AS STRING) || '.25' AS price,
  CASE WHEN l_linenumber = 1 THEN 'NA' ELSE CAST(l_linenumber AS STRING) END AS line,
  CASE WHEN l_returnflag = 'R' THEN 'TRUE' ELSE 'false' END AS returned,
  CASE WHEN l_returnflag = 'R' THEN 'True' WHEN l_returnflag = 'A' THEN 'n/a' ELSE 'False' END AS maybe,

@@ -37,10 +37,14 @@ def title_case(c: Column) -> Column:
     ``initcap`` splits at blanks only, so ``o'neil mc-don`` needs this form.
     """
     runs = F.regexp_extract_all(c, F.lit(f"({CASED}+|{UNCASED}+)"), F.lit(1))
-    titled = F.transform(
-        runs, lambda t: F.concat(F.upper(F.substring(t, 1, 1)), F.lower(F.substr(t, F.lit(2))))
-    )
-    return F.array_join(titled, "")
+    return F.array_join(F.transform(runs, _titled), "")
+
+
+def _titled(run: Column) -> Column:
+    # A letter such as a sharp s has an upper case of two letters, of which one stays.
+    first = F.upper(F.substring(run, 1, 1))
+    rest = F.concat(F.substr(first, F.lit(2)), F.substr(run, F.lit(2)))
+    return F.concat(F.substring(first, 1, 1), F.lower(rest))
 
 
 def fill_unknown(c: Column) -> Column:

@@ -56,13 +56,16 @@ def suggest_strategy(df: DataFrame) -> Strategy:
         low, high = fences(*found[n])
         if (low is not None and row[f"a{i}"] < low) or (high is not None and row[f"b{i}"] > high):
             outlying.append(n)
+    parsed = {n: row[f"x{i}"] for i, n in enumerate(unprotected)}
+    # A text column about to become numbers is filled as numbers are.
+    units = [n for n in unprotected if parsed[n] > NUMERIC_SHARE * rows]
+    stays = [n for n in texts if n not in units]
+    lacking = [n for n in units if parsed[n] < rows] + [n for n in numbers if counts[n] < rows]
     return Strategy(
-        standardize_text=mixed_case_columns(df),
-        extract_numbers=[
-            n for i, n in enumerate(unprotected) if row[f"x{i}"] > NUMERIC_SHARE * rows
-        ],
-        fill_unknown=[n for n in texts if counts[n] < rows],
-        fill_mean=[n for n in numbers if counts[n] < rows],
+        standardize_text=mixed_case_columns(df.select(*[col(n) for n in stays])),
+        extract_numbers=units,
+        fill_unknown=[n for n in stays if counts[n] < rows],
+        fill_mean=lacking,
         remove_outliers=outlying,
         drop_duplicates=True,
     )
