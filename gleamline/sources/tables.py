@@ -73,42 +73,49 @@ def infer_types(df: DataFrame, infer: str = "strict") -> DataFrame:
     return replace_columns(df, typed).select(*[col(n) for n in df.columns if n != SURPLUS])
 
 
+def _cell_kind(c: Column) -> Column:
+    """The narrowest reading of one cell; null for a null cell."""
+    long = F.when(c.try_cast("bigint").isNull(), "huge").otherwise("long")
+    return (
+        F.when(c.isNull(), None)
+        .when(c.rlike(INTEGER_PATTERN), long)
+        .when(to_number(c).isNotNull(), "number")
+        .when(F.lower(c).isin("true", "false"), "boolean")
+        .otherwise("text")
+    )
+
+
 def _infer_kinds(df: DataFrame, names: list[str]) -> dict[str, str]:
-    """One scan that counts, per column, the cells each type would accept."""
-    tests = {
-        "present": lambda c: c.isNotNull(),
-        "integers": lambda c: c.rlike(INTEGER_PATTERN),
-        "longs": lambda c: c.rlike(INTEGER_PATTERN) & c.try_cast("bigint").isNotNull(),
-        "numbers": lambda c: to_number(c).isNotNull(),
-        "booleans": lambda c: F.lower(c).isin("true", "false"),
-    }
-    surplus = F.count(col(SURPLUS)) if SURPLUS in df.columns else F.lit(0)
-    row = df.agg(
+    """One scan that counts, per column, the cells of each kind."""
+    surplus = col(SURPLUS) if SURPLUS in df.columns else F.lit(None)
+    cells = df.select(
+        surplus.alias("s"), *[_cell_kind(col(n)).alias(f"k{i}") for i, n in enumerate(names)]
+    )
+    kinds = ("long", "huge", "number", "boolean", "text")
+    row = cells.agg(
         F.count(F.lit(1)).alias("rows"),
-        surplus.alias("surplus"),
+        F.count("s").alias("surplus"),
         *[
-            F.count_if(test(col(n))).alias(f"{k}_{i}")
-            for i, n in enumerate(names)
-            for k, test in tests.items()
+            F.count_if(F.col(f"k{i}") == k).alias(f"{k}{i}")
+            for i in range(len(names))
+            for k in kinds
         ],
     ).first()
     if row["surplus"]:
         raise ValueError(f"{row['surplus']} rows hold more cells than the header names")
-    kinds = {}
+    found = {}
     for i, n in enumerate(names):
-        present, integers, longs, numbers, booleans = (row[f"{k}_{i}"] for k in tests)
-        complete = present == row["rows"]
-        if integers != longs:
-            kinds[n] = "string"  # an integer no bigint can hold stays exact as text
-        elif present == longs and complete and present:
-            kinds[n] = "bigint"
-        elif present == numbers:
-            kinds[n] = "double"  # an all-null column included
-        elif present == booleans and complete:
-            kinds[n] = "boolean"
+        long, huge, number, boolean, text = (row[f"{k}{i}"] for k in kinds)
+        rows = row["rows"]
+        if huge or text or not rows or (boolean and boolean < rows):
+            found[n] = "string"  # an integer no bigint can hold stays exact as text
+        elif boolean:
+            found[n] = "boolean"
+        elif long and long == rows:
+            found[n] = "bigint"
         else:
-            kinds[n] = "string"
-    return kinds
+            found[n] = "double"  # an all-null column included
+    return found
 
 
 def _typed(c: Column, kind: str) -> Column:
