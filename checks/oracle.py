@@ -488,3 +488,96 @@ O["r2"] = (
     "WITH p AS (SELECT p_retailprice AS y, 900 + (p_partkey % 1000) / 10 AS g FROM part) "
     "SELECT round_even(1 - sum((y - g) ** 2) / sum((y - (SELECT avg(y) FROM p)) ** 2), 8) AS r2 FROM p"
 )
+
+
+O["infer_task"] = (
+    f"WITH c AS ({VIEWS['ml_cls']}), g AS ({VIEWS['ml_reg']}) "
+    "SELECT 'ml_cls' AS source, 'verdict' AS target, CASE WHEN typeof(any_value(verdict)) = 'VARCHAR' "
+    "THEN 'Classification' ELSE 'Regression' END AS task FROM c UNION ALL "
+    "SELECT 'ml_reg', 'price', CASE WHEN count(DISTINCT price) <= 15 THEN 'Classification' ELSE 'Regression' END FROM g "
+    "UNION ALL SELECT 'ml_clu', 'NONE', 'Clustering' UNION ALL "
+    "SELECT 'labels', 'toxic', CASE WHEN count(DISTINCT toxic) <= 15 THEN 'Classification' ELSE 'Regression' END FROM labels"
+)
+O["encode_label"] = (
+    "SELECT doc_id, source, dense_rank() OVER (ORDER BY source) - 1 AS label FROM documents"
+)
+
+
+def standardised(c: str, source: str, digits: int = 6) -> str:
+    filled = f"coalesce({c}, (SELECT avg({c}) FROM {source}))"
+    spread = f"(SELECT stddev_pop(coalesce({c}, (SELECT avg({c}) FROM {source}))) FROM {source})"
+    return r(f"({filled} - (SELECT avg({c}) FROM {source})) / {spread}", digits)
+
+
+O["scale_standard"] = f"WITH v AS ({VIEWS['ml_cls']}) SELECT doc_id, " + ", ".join(
+    f"{standardised(c, 'v')} AS {c}" for c in ("n_chars", "blanks", "breaks")
+) + " FROM v"
+
+
+def minmaxed(c: str) -> str:
+    filled = f"coalesce({c}, (SELECT avg({c}) FROM v))"
+    low, high = f"(SELECT min({c}) FROM v)", f"(SELECT max({c}) FROM v)"
+    return r(f"CASE WHEN {high} = {low} THEN 0 ELSE ({filled} - {low}) / ({high} - {low}) END", 8)
+
+
+O["scale_minmax"] = f"WITH v AS ({VIEWS['const_cols']}) SELECT partkey, " + ", ".join(
+    f"{minmaxed(c)} AS {c}" for c in ("fixed", "product", "root")
+) + " FROM v"
+O["one_hot"] = (
+    f"WITH v AS ({VIEWS['ml_reg']}), f AS (SELECT p_partkey, coalesce(kind, {mode_of('kind', 'v')}) AS kind FROM v) "
+    "SELECT p_partkey, dense_rank() OVER (ORDER BY kind) - 1 AS kind_slot FROM f"
+)
+
+
+def splitting(source: str, key: str) -> str:
+    """Rows of ``source`` with ``is_test``, exactly a fifth of them rounded up."""
+    return (
+        f"SELECT *, row_number() OVER (ORDER BY md5('42|' || {key})) <= ceil(0.2 * count(*) OVER ()) AS is_test FROM {source}"
+    )
+
+
+O["split_exact"] = (
+    f"WITH s AS ({splitting('orders', 'o_orderkey')}) "
+    "SELECT o_orderkey, CASE WHEN is_test THEN 'test' ELSE 'train' END AS part FROM s"
+)
+O["features"] = (
+    f"WITH v AS ({VIEWS['ml_reg']}), s AS ({splitting('v', 'p_partkey')}), t AS (SELECT * FROM s WHERE NOT is_test), "
+    "levels AS (SELECT kind, row_number() OVER (ORDER BY kind) - 1 AS slot FROM (SELECT DISTINCT kind FROM t WHERE kind IS NOT NULL)) "
+    f"SELECT p_partkey, {standardised('size', 't')} AS size, {standardised('code', 't')} AS code, "
+    f"coalesce(slot, -1) AS kind_slot FROM v LEFT JOIN levels ON coalesce(v.kind, {mode_of('kind', 't')}) = levels.kind"
+)
+NEAR = (
+    f"WITH s AS ({splitting('embeddings', 'vec_id')}), p AS ("
+    "SELECT a.vec_id AS query_id, b.vec_id AS train_id, b.label AS label, "
+    "list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS distance "
+    "FROM s a, s b WHERE a.is_test AND NOT b.is_test), n AS (SELECT *, CAST(row_number() OVER "
+    "(PARTITION BY query_id ORDER BY distance, train_id) AS INT) AS rank FROM p QUALIFY rank <= 5)"
+)
+O["knn_join"] = NEAR + f" SELECT query_id, rank, train_id, {r('distance', 5)} AS distance FROM n"
+O["knn_join_cells"] = O["knn_join"]
+O["knn_classify"] = NEAR + (
+    ", v AS (SELECT query_id, label, count(*) AS votes FROM n GROUP BY ALL) "
+    "SELECT query_id AS id, CAST(label AS DOUBLE) AS prediction FROM v "
+    "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, label) = 1"
+)
+O["knn_regress"] = NEAR + (
+    f" SELECT query_id AS id, {r('avg(label)', 6)} AS prediction FROM n GROUP BY query_id"
+)
+
+
+def silhouette_of(distance: str) -> str:
+    return (
+        f"WITH v AS ({VIEWS['ml_clu']}), p AS (SELECT row_number() OVER () AS id, "
+        f"{standardised('c_acctbal', 'v', 12)} AS x, {standardised('nation', 'v', 12)} AS y, c_mktsegment AS m, "
+        "CAST(nation AS INT) % 3 AS cluster FROM v), "
+        "t AS (SELECT a.id, a.cluster, b.cluster AS other, sum(d) AS total, count(*) AS n FROM ("
+        f"SELECT a, b, {distance} AS d FROM p a, p b WHERE a.id <> b.id) GROUP BY ALL), "
+        "o AS (SELECT id, sum(total) FILTER (WHERE cluster = other) / sum(n) FILTER (WHERE cluster = other) AS own, "
+        "min(total / n) FILTER (WHERE cluster <> other) AS near FROM t GROUP BY id) "
+        f"SELECT {r('avg((near - own) / greatest(near, own))', 6)} AS silhouette FROM o"
+    )
+
+
+SQUARED = "(a.x - b.x) ** 2 + (a.y - b.y) ** 2 + CASE WHEN a.m = b.m THEN 0 ELSE 2 END"
+O["silhouette"] = silhouette_of(f"sqrt({SQUARED})")
+O["silhouette_squared"] = silhouette_of(SQUARED)

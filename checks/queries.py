@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.views import load
 from gleamline.functions import numeric, text
+from gleamline.ml import features as M
+from gleamline.ml import nearest as N
+from gleamline.ml import silhouette as L
+from gleamline.ml.split import split_exact as split_rows
 from gleamline.operators import columns as C
 from gleamline.operators import profile as P
 from gleamline.operators import rows as R
 from gleamline.operators import stats as S
+from gleamline.plans import automl as A
 from gleamline.plans import clean as K
 from gleamline.plans import leaderboard as B
 from gleamline.plans import suggest as G
 from gleamline.sources import runs as H
 from gleamline.sources import tables as T
+from gleamline.session import staging_root
 from gleamline.types import dtype_name
 
 QUERIES = {}
@@ -284,3 +292,142 @@ def r2(spark, sf_dir):
     part = load(spark, sf_dir, "part")
     guess = (900 + (F.col("p_partkey") % 1000) / 10).alias("guess")
     return rounded(S.r2(part.select("p_retailprice", guess), "p_retailprice", "guess"), 8)
+
+
+TASKS = (("ml_cls", "verdict"), ("ml_reg", "price"), ("ml_clu", "NONE"), ("labels", "toxic"))
+
+
+@query
+def infer_task(spark, sf_dir):
+    found = [(v, t, A.infer_task(load(spark, sf_dir, v), t)) for v, t in TASKS]
+    return spark.createDataFrame(found, "source string, target string, task string")
+
+
+@query
+def encode_label(spark, sf_dir):
+    return M.encode_label(load(spark, sf_dir, "documents").select("doc_id", "source"), "source")
+
+
+@query
+def scale_standard(spark, sf_dir):
+    df = load(spark, sf_dir, "ml_cls").select("doc_id", "n_chars", "blanks", "breaks")
+    return rounded(M.scale_standard(df, ["n_chars", "blanks", "breaks"]), 6)
+
+
+@query
+def scale_minmax(spark, sf_dir):
+    df = load(spark, sf_dir, "const_cols").select("partkey", "fixed", "product", "root")
+    return rounded(M.scale_minmax(df, ["fixed", "product", "root"]), 8)
+
+
+@query
+def one_hot(spark, sf_dir):
+    return M.one_hot(load(spark, sf_dir, "ml_reg").select("p_partkey", "kind"), ["kind"])
+
+
+@query
+def split_exact(spark, sf_dir):
+    train, test = split_rows(load(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"])
+    return train.withColumn("part", F.lit("train")).union(test.withColumn("part", F.lit("test")))
+
+
+@query
+def features(spark, sf_dir):
+    """Numbers and level slots of every row, fitted on the training rows."""
+    df = load(spark, sf_dir, "ml_reg")
+    train, _ = split_rows(df, ["p_partkey"])
+    inputs = ["size", "code", "kind"]
+    space = M.FeatureSpace.fit(train.select(*inputs))
+    return rounded(
+        space.transform(df.select("p_partkey", *inputs)).select(
+            "p_partkey",
+            F.col("num")[0].alias("size"),
+            F.col("num")[1].alias("code"),
+            F.col("slots")[0].cast("bigint").alias("kind_slot"),
+        ),
+        6,
+    )
+
+
+def vectors(spark, sf_dir):
+    """Embeddings as rows to join, split into training rows and queries."""
+    embeddings = load(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"),
+        F.col("embedding").cast("array<double>").alias("num"),
+        F.array().cast("array<int>").alias("slots"),
+        F.col("label").cast("double").alias("label"),
+    )
+    return split_rows(embeddings, ["id"])
+
+
+@query
+def knn_join(spark, sf_dir):
+    train, test = vectors(spark, sf_dir)
+    return rounded(N.knn_join(test, train), 5)
+
+
+@query
+def knn_join_cells(spark, sf_dir):
+    """The same join cut into cells, as for a training side too large to broadcast."""
+    train, test = vectors(spark, sf_dir)
+    return rounded(N.knn_join(test, train, broadcast_cells=0), 5)
+
+
+@query
+def knn_classify(spark, sf_dir):
+    train, test = vectors(spark, sf_dir)
+    return N.knn_predict(test, train, classify=True)
+
+
+@query
+def knn_regress(spark, sf_dir):
+    train, test = vectors(spark, sf_dir)
+    return rounded(N.knn_predict(test, train, classify=False), 6)
+
+
+def clusters(spark, sf_dir):
+    """Customers in feature space, clustered by region of the nation code."""
+    df = load(spark, sf_dir, "ml_clu")
+    space = M.FeatureSpace.fit(df)
+    named = df.withColumn("cluster", (F.col("nation") % 3).cast("int"))
+    return space.transform(named).select("num", "slots", "cluster")
+
+
+@query
+def silhouette(spark, sf_dir):
+    value = L.silhouette(clusters(spark, sf_dir))
+    return rounded(spark.createDataFrame([(value,)], "silhouette double"), 6)
+
+
+@query
+def silhouette_squared(spark, sf_dir):
+    value = L.silhouette(clusters(spark, sf_dir), "squared")
+    return rounded(spark.createDataFrame([(value,)], "silhouette double"), 6)
+
+
+def trained(view, target, mode="auto", config=None):
+    def run(spark, sf_dir):
+        return A.automl(load(spark, sf_dir, view), target, mode, config).leaderboard
+
+    return run
+
+
+QUERIES["train_classification"] = trained("ml_cls", "verdict")
+QUERIES["train_regression"] = trained("ml_reg", "price")
+QUERIES["train_clustering"] = trained("ml_clu", "NONE")
+QUERIES["train_manual"] = trained(
+    "ml_cls",
+    "verdict",
+    "manual",
+    A.MlConfig(drop_columns=["doc_id"], scaling="minmax", models=["linear", "tree"]),
+)
+
+
+@query
+def score_table(spark, sf_dir):
+    """Train, save, load, and score the whole table."""
+    df = load(spark, sf_dir, "ml_reg")
+    config = A.MlConfig(models=["linear", "tree"])
+    path = f"{staging_root(spark)}/model-{uuid.uuid4().hex}"
+    A.automl(df, "price", "manual", config).best.save(path)
+    return A.score_table(spark, path, df)

@@ -24,6 +24,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleamline.ml import network
 from gleamline.ml.features import FeatureSpace
@@ -119,7 +120,7 @@ def random_features(df: DataFrame, state: dict) -> DataFrame:
             yield b[others].assign(z=list(z))
 
     others = [n for n in df.columns if n != "features"]
-    schema = df.select(*others).schema.add("z", "array<double>")
+    schema = T.StructType([*df.select(*others).schema, T.StructField("z", T.ArrayType(T.DoubleType()))])
     return df.select(*others).mapInPandas(project, schema).select(
         *others, array_to_vector("z").alias("features")
     )

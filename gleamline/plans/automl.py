@@ -11,10 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleamline.ml import models
-from gleamline.ml.features import FeatureSpace, encode_label, label_table
+from gleamline.ml.features import FeatureSpace, label_table
 from gleamline.ml.silhouette import silhouette
 from gleamline.ml.split import split_exact
-from gleamline.operators.columns import drop_columns
 from gleamline.operators.lookup import is_small, lookup
 from gleamline.plans import leaderboard as board
 from gleamline.session import stage
@@ -23,6 +22,7 @@ from gleamline.types import MlConfig, col, columns_of, conform
 NO_TARGET = "NONE"
 FEW_VALUES = 15
 PREDICTED = "Predicted_Result"
+ROW_ID = "__row_id"
 METRICS = {
     "Classification": "Accuracy",
     "Regression": "R-Square",
@@ -53,14 +53,16 @@ class Pipeline:
 
     task: str
     name: str
+    columns: list[str]
     space: FeatureSpace
     fitted: models.Fitted
     labels: DataFrame | None = None
 
     def predict(self, df: DataFrame) -> DataFrame:
         """Add ``Predicted_Result`` to rows with the training columns."""
-        rows = stage(conform(df).withColumn("id", F.monotonically_increasing_id()))
-        found = self.fitted.predict(self.space.transform(rows)).select("id", "prediction")
+        rows = stage(conform(df).withColumn(ROW_ID, F.monotonically_increasing_id()))
+        features = self.space.transform(feature_view(rows, self.columns))
+        found = self.fitted.predict(features).select("id", "prediction")
         if self.task == "Regression":
             found = found.withColumnRenamed("prediction", PREDICTED)
         elif self.task == "Clustering":
@@ -69,12 +71,12 @@ class Pipeline:
             small = is_small(self.labels, "value")
             label = F.col("prediction").cast("bigint")
             found = lookup(found, label, self.labels, "label", "value", PREDICTED, small).drop("prediction")
-        return rows.join(found, "id").drop("id")
+        return rows.join(found, F.col(ROW_ID) == F.col("id")).drop(ROW_ID, "id")
 
     def save(self, path: str) -> None:
         """Write the whole pipeline below ``path``."""
         spark = SparkSession.active()
-        note = json.dumps({"task": self.task, "name": self.name})
+        note = json.dumps({"task": self.task, "name": self.name, "columns": self.columns})
         spark.createDataFrame([(note,)], "value string").coalesce(1).write.mode("overwrite").text(
             f"{path}/pipeline"
         )
@@ -90,7 +92,13 @@ class Pipeline:
         if note["task"] == "Classification":
             labels = spark.read.parquet(f"{path}/labels")
         space, fitted = FeatureSpace.load(path, spark), models.Fitted.load(path, spark)
-        return cls(note["task"], note["name"], space, fitted, labels)
+        return cls(note["task"], note["name"], note["columns"], space, fitted, labels)
+
+
+def feature_view(rows: DataFrame, columns: list[str], *others) -> DataFrame:
+    """``id`` and the features under names of their own, so no user column can collide."""
+    named = [col(n).alias(f"x{i}") for i, n in enumerate(columns)]
+    return rows.select(F.col(ROW_ID).alias("id"), *others, *named)
 
 
 def save_model(pipeline: Pipeline, path: str) -> None:
@@ -132,25 +140,34 @@ def automl(
         if target not in table.columns:
             raise ValueError(f"Target column '{target}' not found.")
         table = table.where(col(target).isNotNull())
-    table = stage(table.withColumn("id", F.monotonically_increasing_id()))
+    table = stage(table.withColumn(ROW_ID, F.monotonically_increasing_id()))
     task = infer_task(table, target)
     candidates = models.chosen(CANDIDATES[task], config.models)
     if not candidates:
         raise ValueError(f"none of the models {config.models} fits the task {task}")
 
-    features = [n for n in table.columns if n not in ("id", target, *config.drop_columns)]
+    columns = [n for n in table.columns if n not in (ROW_ID, target, *config.drop_columns)]
+    if task == "Clustering":
+        train = test = feature_view(table, columns)
+    else:
+        train, test = [
+            feature_view(part, columns, col(target).alias("target"))
+            for part in split_exact(table, key or [ROW_ID], seed=config.seed)
+        ]
+    space = FeatureSpace.fit(train.select(*[f"x{i}" for i in range(len(columns))]), config.scaling)
     labels = None
     if task == "Classification":
         labels = stage(label_table(table, target))
-        table = encode_label(table, target, labels).withColumn("label", F.col("label").cast("double"))
+        small = is_small(labels, "value")
+        train, test = [
+            lookup(part, F.col("target"), labels, "value", "label", "label", small)
+            for part in (train, test)
+        ]
     elif task == "Regression":
-        table = table.withColumn("label", col(target).cast("double"))
-    if task == "Clustering":
-        train = test = table
-    else:
-        train, test = split_exact(table, key or ["id"], seed=config.seed)
-    space = FeatureSpace.fit(train.select(*[col(n) for n in features]), config.scaling)
-    carried = ["id", "num", "slots", "features"] + (["label"] if task != "Clustering" else [])
+        train, test = [part.withColumnRenamed("target", "label") for part in (train, test)]
+    carried = ["id", "num", "slots", "features"]
+    if task != "Clustering":
+        carried.append(F.col("label").cast("double").alias("label"))
     train = stage(space.transform(train).select(*carried))
     test = train if task == "Clustering" else stage(space.transform(test).select(*carried))
     classes = labels.count() if labels is not None else 0
@@ -169,7 +186,7 @@ def automl(
         raise RuntimeError(f"every candidate failed: {skipped}")
     scores = spark.createDataFrame(scored, "seq int, model string, score double, metric string")
     best = max(scored, key=lambda s: (s[2], -s[0]))[1]
-    pipeline = Pipeline(task, best, space, fitted[best], labels)
+    pipeline = Pipeline(task, best, columns, space, fitted[best], labels)
     return AutoMlResult(task, scores, board.leaderboard(scores), pipeline, skipped)
 
 
