@@ -20,6 +20,7 @@ UNKNOWN = "Unknown"
 
 CASED = r"[\p{Lu}\p{Ll}\p{Lt}]"
 UNCASED = r"[^\p{Lu}\p{Ll}\p{Lt}]"
+MARK = "\x01 "
 
 
 def null_if_in(c: Column, tokens: tuple[str, ...]) -> Column:
@@ -34,14 +35,26 @@ def strip_text(c: Column) -> Column:
 def title_case(c: Column) -> Column:
     """Upper-case the first letter of each run of cased letters, lower-case the rest.
 
-    ``initcap`` splits at blanks only, so ``o'neil mc-don`` needs this form.
+    ``initcap`` starts words at blanks only, so a marked blank is put before
+    every other start and taken out afterwards.  Texts with letters whose upper
+    case is more than one letter go run by run.
     """
+    sharp_s = F.regexp_replace(c, f"(?<!{CASED})\u00df", "Ss")
+    plain = F.when(c.contains("\u00df"), sharp_s).otherwise(c)
+    marked = F.regexp_replace(plain, f"(?<=[^\\p{{Lu}}\\p{{Ll}}\\p{{Lt}} ])(?={CASED})", MARK)
+    quick = F.replace(F.initcap(marked), F.lit(MARK), F.lit(""))
+    others = F.replace(c, F.lit("\u00df"), F.lit(""))
+    unusual = c.contains(MARK[0]) | (F.length(F.upper(others)) != F.length(others))
+    return F.when(unusual, _title_runs(c)).otherwise(quick)
+
+
+def _title_runs(c: Column) -> Column:
     runs = F.regexp_extract_all(c, F.lit(f"({CASED}+|{UNCASED}+)"), F.lit(1))
     return F.array_join(F.transform(runs, _titled), "")
 
 
 def _titled(run: Column) -> Column:
-    # A letter such as a sharp s has an upper case of two letters, of which one stays.
+    # A ligature has an upper case of two letters, of which one stays.
     first = F.upper(F.substring(run, 1, 1))
     rest = F.concat(F.substr(first, F.lit(2)), F.substr(run, F.lit(2)))
     return F.concat(F.substring(first, 1, 1), F.lower(rest))

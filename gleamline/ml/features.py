@@ -6,14 +6,14 @@ import json
 import math
 from dataclasses import dataclass
 
-from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleamline.operators import stats
-from gleamline.operators.lookup import dense_index, is_small, lookup
+from gleamline.operators.lookup import dense_index, fits_broadcast, is_small, lookup
 from gleamline.session import stage
 from gleamline.types import col, columns_of, replace_columns
 
@@ -91,7 +91,7 @@ def encode_label(df: DataFrame, target: str, labels: DataFrame | None = None) ->
 def vocabulary(df: DataFrame, names: list[str]) -> DataFrame:
     """``(column, value, slot)``: the levels of each text column, numbered from 0 in order."""
     levels = stats.unpivot(df, names).where("value IS NOT NULL").distinct()
-    numbered = stage(dense_index(levels, ["column", "value"], "place"))
+    numbered = dense_index(levels, ["column", "value"], "place")
     first = numbered.groupBy("column").agg(F.min("place").alias("first"))
     # One row per text column.
     return numbered.join(F.broadcast(first), "column").select(
@@ -99,6 +99,12 @@ def vocabulary(df: DataFrame, names: list[str]) -> DataFrame:
     )
 
 
+def sizes_of(levels: DataFrame) -> DataFrame:
+    return levels.groupBy("column").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length("value")).alias("chars")
+    )
+
+
 def one_hot(df: DataFrame, names: list[str]) -> DataFrame:
     """Replace each text column by its level's slot; the vector has a one there.
 
@@ -139,9 +145,9 @@ class FeatureSpace:
             texts = [n for n in texts if n in fills]  # an all-null column has no level
         if texts:
             levels = stage(vocabulary(train, texts))
-            for n in texts:
-                own = levels.where(F.col("column") == n)
-                sizes[n], small[n] = own.count(), is_small(own, "value")
+            for r in sizes_of(levels).collect():  # one row per text column
+                sizes[r["column"]] = r["n"]
+                small[r["column"]] = fits_broadcast(r["n"], r["chars"])
         return cls(number_stats(train, numbers), texts, fills, sizes, small, scaling, levels)
 
     @property
@@ -198,8 +204,6 @@ class FeatureSpace:
             df = encoder.fit(df).transform(df)
             inputs += vectors
         if self.numbers:
-            from pyspark.ml.feature import VectorSizeHint
-
             hint = VectorSizeHint(inputCol="__num", size=len(self.numbers), handleInvalid="optimistic")
             df = hint.transform(df)
         return VectorAssembler(inputCols=inputs, outputCol="features").transform(df)

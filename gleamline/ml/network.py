@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ALPHA = 1e-4
-TOLERANCE = 1e-4
+TOLERANCE = 1e-5  # of the loss, whose target is standardised
 PATIENCE = 5
 MEMORY = 10
 # Partial gradients the driver adds up itself; more are first added in groups.
@@ -133,7 +133,7 @@ def _minimise(objective, w, max_iter):
         change, turn = moved - w, new_gradient - gradient
         if float(change @ turn) > 1e-12:
             pairs = [*pairs, (change, turn)][-MEMORY:]
-        idle = idle + 1 if loss - new_loss < TOLERANCE * max(loss, 1e-12) else 0
+        idle = idle + 1 if loss - new_loss < TOLERANCE else 0
         w, loss, gradient = moved, new_loss, new_gradient
         if idle >= PATIENCE or np.abs(gradient).max() < 1e-7:
             break

@@ -51,7 +51,11 @@ def is_small(table: DataFrame, key: str) -> bool:
         F.count(F.lit(1)).alias("n"),
         F.coalesce(F.sum(F.length(col(key).cast("string"))), F.lit(0)).alias("chars"),
     ).first()
-    return row["n"] <= BROADCAST_ROWS and row["chars"] <= BROADCAST_CHARS
+    return fits_broadcast(row["n"], row["chars"])
+
+
+def fits_broadcast(rows: int, chars: int) -> bool:
+    return rows <= BROADCAST_ROWS and chars <= BROADCAST_CHARS
 
 
 def lookup(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleamline.functions import text
@@ -74,16 +74,19 @@ def apply_strategy(df: DataFrame, strategy: Strategy | dict, log: RunLog | None
 
 def auto_clean(df: DataFrame, log: RunLog | None = None) -> DataFrame:
     """De-duplicate, standardise text, find numbers in text, fill, and cap outliers."""
-    before, after = Observation(), Observation()
-    deduped = R.dedupe_rows(df.observe(before, F.count(F.lit(1)).alias("n")))
-    table = stage(deduped.observe(after, F.count(F.lit(1)).alias("n")))
     log = log if log is not None else RunLog()
-    removed = before.get["n"] - after.get["n"]
-    if removed:
-        log.add("dedupe_rows", None, removed)
+    table = stage(R.dedupe_rows(df))
+    _log_removed(log, "dedupe_rows", df, table)
     return _auto_columns(table, log)
 
 
+def _log_removed(log: RunLog, op: str, before: DataFrame, after: DataFrame) -> None:
+    """Count both sides without reading a column; a written table counts from its footers."""
+    removed = before.count() - after.count()
+    if removed:
+        log.add(op, None, removed)
+
+
 def _auto_columns(df: DataFrame, log: RunLog) -> DataFrame:
     # One scan: nulls per column, and cells that parse per unprotected text column.
     texts = columns_of(df, "text")
@@ -136,12 +139,8 @@ def clean(df: DataFrame, mode: str = "auto_smart", strategy: Strategy | dict | N
         raise ValueError(f"unknown mode '{mode}'; one of {', '.join(MODES)}")
     log = RunLog()
     table = C.normalize_nulls(conform(df))
-    before, after = Observation(), Observation()
-    counted = R.drop_sparse_rows(table.observe(before, F.count(F.lit(1)).alias("n")))
-    kept = stage(counted.observe(after, F.count(F.lit(1)).alias("n")))
-    dropped = before.get["n"] - after.get["n"]
-    if dropped:
-        log.add("drop_sparse_rows", None, dropped)
+    kept = stage(R.drop_sparse_rows(table))
+    _log_removed(log, "drop_sparse_rows", table, kept)
 
     if mode == "ai_agent":
         strategy = strategy or suggest_strategy(kept)

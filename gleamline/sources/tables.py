@@ -73,45 +73,44 @@ def infer_types(df: DataFrame, infer: str = "strict") -> DataFrame:
     return replace_columns(df, typed).select(*[col(n) for n in df.columns if n != SURPLUS])
 
 
+# One bit per reading of a cell.
+LONG, HUGE, NUMBER, BOOLEAN, TEXT = 1, 2, 4, 8, 16
+
+
 def _cell_kind(c: Column) -> Column:
     """The narrowest reading of one cell; null for a null cell."""
-    long = F.when(c.try_cast("bigint").isNull(), "huge").otherwise("long")
+    long = F.when(c.try_cast("bigint").isNull(), HUGE).otherwise(LONG)
     return (
         F.when(c.isNull(), None)
         .when(c.rlike(INTEGER_PATTERN), long)
-        .when(to_number(c).isNotNull(), "number")
-        .when(F.lower(c).isin("true", "false"), "boolean")
-        .otherwise("text")
+        .when(to_number(c).isNotNull(), NUMBER)
+        .when(F.lower(c).isin("true", "false"), BOOLEAN)
+        .otherwise(TEXT)
     )
 
 
 def _infer_kinds(df: DataFrame, names: list[str]) -> dict[str, str]:
-    """One scan that counts, per column, the cells of each kind."""
+    """One scan that finds, per column, the kinds of its cells and how many there are."""
     surplus = col(SURPLUS) if SURPLUS in df.columns else F.lit(None)
     cells = df.select(
         surplus.alias("s"), *[_cell_kind(col(n)).alias(f"k{i}") for i, n in enumerate(names)]
     )
-    kinds = ("long", "huge", "number", "boolean", "text")
     row = cells.agg(
         F.count(F.lit(1)).alias("rows"),
         F.count("s").alias("surplus"),
-        *[
-            F.count_if(F.col(f"k{i}") == k).alias(f"{k}{i}")
-            for i in range(len(names))
-            for k in kinds
-        ],
+        *[F.count(f"k{i}").alias(f"n{i}") for i in range(len(names))],
+        *[F.bit_or(f"k{i}").alias(f"b{i}") for i in range(len(names))],
     ).first()
     if row["surplus"]:
         raise ValueError(f"{row['surplus']} rows hold more cells than the header names")
     found = {}
     for i, n in enumerate(names):
-        long, huge, number, boolean, text = (row[f"{k}{i}"] for k in kinds)
-        rows = row["rows"]
-        if huge or text or not rows or (boolean and boolean < rows):
+        kinds, complete = row[f"b{i}"] or 0, row[f"n{i}"] == row["rows"]
+        if not row["rows"] or kinds & (TEXT | HUGE):
             found[n] = "string"  # an integer no bigint can hold stays exact as text
-        elif boolean:
-            found[n] = "boolean"
-        elif long and long == rows:
+        elif kinds & BOOLEAN:
+            found[n] = "boolean" if kinds == BOOLEAN and complete else "string"
+        elif kinds == LONG and complete:
             found[n] = "bigint"
         else:
             found[n] = "double"  # an all-null column included
