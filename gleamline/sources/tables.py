@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from gleamline.functions.numeric import INTEGER_PATTERN, to_number
 from gleamline.functions.text import DEFAULT_NULLS, NULL_TOKENS
 from gleamline.operators.columns import normalize_nulls
+from gleamline.operators.stats import unpivot
 from gleamline.types import col, columns_of, replace_columns
 
 SURPLUS = "__surplus__"
@@ -90,31 +91,36 @@ def _cell_kind(c: Column) -> Column:
 
 
 def _infer_kinds(df: DataFrame, names: list[str]) -> dict[str, str]:
-    """One scan that finds, per column, the kinds of its cells and how many there are."""
-    surplus = col(SURPLUS) if SURPLUS in df.columns else F.lit(None)
-    cells = df.select(
-        surplus.alias("s"), *[_cell_kind(col(n)).alias(f"k{i}") for i, n in enumerate(names)]
+    """One scan that finds, per column, the kinds of its cells and how many there are.
+
+    Cells are laid out as rows, so the reading of a cell is compiled once and
+    not once per column; each task folds its cells to one row per column.
+    """
+    watched = [*names, SURPLUS] if SURPLUS in df.columns else names
+    if not watched:
+        return {}
+    cells = unpivot(df, watched).select("column", _cell_kind(F.col("value")).alias("kind"))
+    found = cells.groupBy("column").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("kind").alias("n"), F.bit_or("kind").alias("kinds")
     )
-    row = cells.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count("s").alias("surplus"),
-        *[F.count(f"k{i}").alias(f"n{i}") for i in range(len(names))],
-        *[F.bit_or(f"k{i}").alias(f"b{i}") for i in range(len(names))],
-    ).first()
-    if row["surplus"]:
-        raise ValueError(f"{row['surplus']} rows hold more cells than the header names")
-    found = {}
-    for i, n in enumerate(names):
-        kinds, complete = row[f"b{i}"] or 0, row[f"n{i}"] == row["rows"]
-        if not row["rows"] or kinds & (TEXT | HUGE):
-            found[n] = "string"  # an integer no bigint can hold stays exact as text
-        elif kinds & BOOLEAN:
-            found[n] = "boolean" if kinds == BOOLEAN and complete else "string"
-        elif kinds == LONG and complete:
-            found[n] = "bigint"
-        else:
-            found[n] = "double"  # an all-null column included
-    return found
+    seen = {r["column"]: r for r in found.collect()}  # one row per column
+    if SURPLUS in seen and seen[SURPLUS]["n"]:
+        surplus = seen[SURPLUS]["n"]
+        raise ValueError(f"{surplus} rows hold more cells than the header names")
+    return {n: _column_kind(seen.get(n)) for n in names}
+
+
+def _column_kind(seen) -> str:
+    if seen is None:  # an empty table
+        return "string"
+    kinds, complete = seen["kinds"] or 0, seen["n"] == seen["rows"]
+    if kinds & (TEXT | HUGE):
+        return "string"  # an integer no bigint can hold stays exact as text
+    if kinds & BOOLEAN:
+        return "boolean" if kinds == BOOLEAN and complete else "string"
+    if kinds == LONG and complete:
+        return "bigint"
+    return "double"  # an all-null column included
 
 
 def _typed(c: Column, kind: str) -> Column:
