@@ -62,7 +62,7 @@ class Pipeline:
         """Add ``Predicted_Result`` to rows with the training columns."""
         rows = stage(conform(df).withColumn(ROW_ID, F.monotonically_increasing_id()))
         features = self.space.transform(feature_view(rows, self.columns))
-        found = self.fitted.predict(features).select("id", "prediction")
+        found = self.fitted.predict(features).select(F.col("id").alias(ROW_ID), "prediction")
         if self.task == "Regression":
             found = found.withColumnRenamed("prediction", PREDICTED)
         elif self.task == "Clustering":
@@ -71,7 +71,7 @@ class Pipeline:
             small = is_small(self.labels, "value")
             label = F.col("prediction").cast("bigint")
             found = lookup(found, label, self.labels, "label", "value", PREDICTED, small).drop("prediction")
-        return rows.join(found, F.col(ROW_ID) == F.col("id")).drop(ROW_ID, "id")
+        return rows.join(found, ROW_ID).drop(ROW_ID)
 
     def save(self, path: str) -> None:
         """Write the whole pipeline below ``path``."""
