@@ -203,9 +203,11 @@ def three_classes(spark):
 def test_classification_run(spark, tmp_path):
     """Three classes, and columns named like the engine's own."""
     df = three_classes(spark)
-    result = automl(df, "colour")
+    families = ["linear", "knn", "tree", "svm", "mlp"]  # the forest is in the regression run
+    result = automl(df, "colour", "manual", MlConfig(models=families))
     scores = check_board(result)
-    assert result.task == "Classification" and set(scores) == set(models.CLASSIFIERS)
+    assert result.task == "Classification"
+    assert set(scores) == set(models.CLASSIFIERS) - {"Random Forest"}
     assert min(scores.values()) > 80
     result.best.save(str(tmp_path / "m"))
     direct = sorted(map(str, result.best.predict(df).collect()))
@@ -225,6 +227,7 @@ def test_regression_run(spark, tmp_path):
     assert scores["Linear Regression"] > 99.9 and scores["Neural Network (MLP)"] > 95
     assert scores["SVM (SVR)"] > 80
     for seq, name in enumerate(("KNN Regressor", "SVM (SVR)", "Neural Network (MLP)")):
+        # Kinds of model that are not one Spark ML stage have their own way to disk.
         only = automl(df, "y", "manual", MlConfig(models=[name])).best
         only.save(str(tmp_path / str(seq)))
         a = sorted(r[PREDICTED] for r in only.predict(df).collect())
