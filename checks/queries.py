@@ -423,6 +423,16 @@ QUERIES["train_manual"] = trained(
 )
 
 
+@query
+def automl(spark, sf_dir):
+    """Task, ranked models, and which of them is kept."""
+    config = A.MlConfig(models=["linear", "knn", "tree"])
+    result = A.automl(load(spark, sf_dir, "ml_reg"), "price", "manual", config)
+    return result.leaderboard.withColumn("task", F.lit(result.task)).withColumn(
+        "is_best", F.col("model") == result.best.name
+    )
+
+
 @query
 def score_table(spark, sf_dir):
     """Train, save, load, and score the whole table."""

@@ -168,12 +168,13 @@ def knn_classifier(t: Training) -> Fitted:
     return _knn(t, classify=True)
 
 
+# Deep trees remember each row's node, or every level would walk all trees again.
 def tree_classifier(t: Training) -> Fitted:
-    return _spark(DecisionTreeClassifier(seed=t.seed, maxDepth=t.depth), t)
+    return _spark(DecisionTreeClassifier(seed=t.seed, maxDepth=t.depth, cacheNodeIds=True), t)
 
 
 def forest_classifier(t: Training) -> Fitted:
-    return _spark(RandomForestClassifier(seed=t.seed, numTrees=100, maxDepth=t.depth), t)
+    return _spark(RandomForestClassifier(seed=t.seed, numTrees=100, maxDepth=t.depth, cacheNodeIds=True), t)
 
 
 def svm_classifier(t: Training) -> Fitted:
@@ -196,11 +197,11 @@ def knn_regressor(t: Training) -> Fitted:
 
 
 def tree_regressor(t: Training) -> Fitted:
-    return _spark(DecisionTreeRegressor(seed=t.seed, maxDepth=t.depth), t)
+    return _spark(DecisionTreeRegressor(seed=t.seed, maxDepth=t.depth, cacheNodeIds=True), t)
 
 
 def forest_regressor(t: Training) -> Fitted:
-    return _spark(RandomForestRegressor(seed=t.seed, numTrees=100, maxDepth=t.depth), t)
+    return _spark(RandomForestRegressor(seed=t.seed, numTrees=100, maxDepth=t.depth, cacheNodeIds=True), t)
 
 
 def svm_regressor(t: Training) -> Fitted:
