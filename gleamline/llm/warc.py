@@ -3,7 +3,7 @@
 A page becomes a ``response`` record, or a ``revisit`` of the response with the same payload that has the
 largest page number.  Payloads are framed in chunked transfer coding; blocks longer than a segment
 go on in ``continuation`` records.  Records are written by Spark's text writer, whose line separator is
-the end of a WARC record, so files are written and committed as any table's.
+the end of a WARC record, so files are written, compressed and committed as any table's.
 
 Reading takes the files as they are.  Records are parsed by their lengths; continuation records are
 grouped by the identifier of their origin, ordered by segment number and joined; the total length is
@@ -22,6 +22,7 @@ whatever their names.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -170,7 +171,8 @@ def write(pages: DataFrame, path: str, least: int = 0, segment: int = SEGMENT, r
                 yield b
 
     records = marked.mapInArrow(run, "value string")
-    records.write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    files = records.write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS)
+    files.option("compression", "gzip").text(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -185,7 +187,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for file in slices(batches, 1):
             rows = []
-            for h, block in parse(file.column(0)[0].as_py()):
+            for h, block in parse(gzip.decompress(file.column(0)[0].as_py())):
                 rows.append(
                     (
                         h.get("warc-segment-origin-id", h["warc-record-id"])[1:-1], h["warc-type"], h.get("warc-target-uri"),
