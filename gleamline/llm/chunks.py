@@ -1,18 +1,21 @@
 """Repeated passages by content-defined chunking with a gear rolling hash.
 
 A gear hash over the last ``WINDOW`` bytes is rolled over the whole text; a chunk ends where the hash is
-the smallest of the ``SPAN`` around it.  A boundary depends on the bytes near it only, so an insertion
-moves no boundary beyond them, and no chunk is longer than ``SPAN`` bytes.  Chunks are deduplicated by
-a 128-bit digest: the first occurrence by identifier and place stays.
+the smallest of the ``SPAN`` around it, and ``LEAST`` bytes or more after the last end.  A boundary
+depends on the bytes near it, so an insertion moves no boundary beyond the next few.  Each chunk is taken
+with the one that follows it and deduplicated by a 128-bit digest of the two, which leaves hardly any
+chance repeats of common words: the first occurrence by identifier and place stays.
 
-A passage shared by two texts shares all its chunks but the first and the last, which may be cut
-differently.  Repeated chunks next to each other are one passage; it is reported if it has at least
-``words`` words together with those of the two chunks beside it, of which it may hold a part.
+A passage shared by two texts shares all its chunks but those within ``REACH`` bytes of its ends.  Repeats
+next to each other are one passage; if all repeat the same text at the same distance, the bytes
+before and behind are compared with that text's, so the passage is reported whole.  It is reported if
+it has at least ``words`` words; one that repeats several texts, if it may have them with what is beside it.
 
-Only digests, identifiers and places are shuffled.  A chunk that a third of all texts hold is counted
-in each task first; in the join back to the texts each digest has one row on one side, which Spark splits.
+Only digests, identifiers and places are shuffled for all chunks; texts only meet the places at which they
+are to be compared.  A chunk that a third of all texts hold is counted in each task first; in the join
+back to the texts each digest has one row on one side, which Spark splits.
 
-Defined cases: a null or empty text has no chunks.  Rows that repeat are texts of their own at the same
+Defined cases: a null or empty text has no chunks, and a text of a single one no 50 words to repeat.  Rows that repeat are texts of their own at the same
 places: of rows equal in identifier, place and digest the first one counted stays, so identical rows are
 no repeats of each other.  Null identifiers are never first and have no row in the report.  An empty table
 gives no rows; other columns are passed on by ``remove`` and otherwise ignored, whatever their names.
@@ -33,7 +36,10 @@ from gleamline.session import stage
 
 WINDOW = 16
 SPAN = 96
+LEAST = 12
 WORDS = 50
+#: No byte of a shared passage is further than this from its first or last shared chunk.
+REACH = SPAN + WINDOW + 2 * LEAST + 3
 
 #: A fixed random number for each byte, made by a multiplicative rule.
 GEAR = ((np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
@@ -69,33 +75,39 @@ def boundaries(raw: np.ndarray, span: int = SPAN) -> np.ndarray:
     padded = np.append(raw, np.zeros(4, np.uint8))
     for _ in range(3):  # no chunk ends within a character
         ends += (padded[ends] & 0xC0) == 0x80
-    return np.unique(ends)
+    kept, last = [], 0
+    for e in np.unique(ends)[:-1].tolist():
+        if e - last >= LEAST:
+            kept.append(e)
+            last = e
+    return np.array([*kept, n], np.int64)
 
 
-def chunks_of(data: bytes) -> tuple[np.ndarray, list[bytes]]:
+def pairs_of(data: bytes) -> tuple[np.ndarray, list[bytes]]:
+    """The ends of a text's chunks, and a digest of each chunk with the one that follows it."""
     ends = boundaries(np.frombuffer(data, np.uint8))
-    digest, at, out = xxhash.xxh3_128_digest, 0, []
-    for e in ends.tolist():
-        out.append(digest(data[at:e]))
-        at = e
-    return ends, out
+    edges = [0, *ends.tolist()]
+    digest = xxhash.xxh3_128_digest
+    return ends, [digest(data[a:b]) for a, b in zip(edges, edges[2:])]
 
 
 def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, nth, start, bytes, words, before, after, high, low): every chunk of every text, in bytes.
+    """(id, nth, start, bytes, words, tail, before, after, high, low): every chunk with its next one, in bytes.
 
-    ``words`` counts the words that begin in the chunk, ``before`` and ``after`` those of its neighbours.
+    ``words`` counts the words that begin in the chunk, ``tail`` those in the next, ``before`` and ``after``
+    those within ``REACH`` of the two.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in bounded(batches, 1, 4 << 20):
-            row, nth, start, size, words, before, after, digests = [], [], [], [], [], [], [], []
+            row, nth, start, size, words, tail, before, after, digests = [], [], [], [], [], [], [], [], []
             for i, text in enumerate(part.column(1).to_pylist()):
                 data = (text or "").encode()
-                if not data:
+                ends, found = pairs_of(data)
+                if not found:
                     continue
-                ends, found = chunks_of(data)
-                begins = np.concatenate([[0], ends[:-1]])
+                begins = np.concatenate([[0], ends[:-2]])
+                middles, ends = ends[:-1], ends[1:]
                 raw = np.frombuffer(data, np.uint8)
                 blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
                 first = ~blank
@@ -105,22 +117,23 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
                 nth.append(np.arange(len(ends)))
                 start.append(begins)
                 size.append(ends - begins)
-                words.append(count[ends] - count[begins])
-                before.append(np.append(0, words[-1][:-1]))
-                after.append(np.append(words[-1][1:], 0))
+                words.append(count[middles] - count[begins])
+                tail.append(count[ends] - count[middles])
+                before.append(count[begins] - count[np.maximum(begins - REACH, 0)])
+                after.append(count[np.minimum(ends + REACH, len(raw))] - count[ends])
                 digests += found
             if not row:
                 continue
             pair = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            i32 = [pa.array(np.concatenate(x).astype(np.int32)) for x in (nth, start, size, words, before, after)]
+            i32 = [pa.array(np.concatenate(x).astype(np.int32)) for x in (nth, start, size, words, tail, before, after)]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0).take(pa.array(np.concatenate(row))), *i32, pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())],
-                names=["id", "nth", "start", "bytes", "words", "before", "after", "high", "low"],
+                names=["id", "nth", "start", "bytes", "words", "tail", "before", "after", "high", "low"],
             )
 
     rows = docs.select(column(id_col).alias("id"), column(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, nth int, start int, bytes int, words int, before int, after int, high long, low long")
+    return rows.mapInArrow(run, f"id {kind}, nth int, start int, bytes int, words int, tail int, before int, after int, high long, low long")
 
 
 def repeats(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,22 +151,108 @@ def repeats(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_co
         .select("high", "low", F.col("keep.id").alias("keep_id"), F.col("keep.start").alias("keep_start"))
     )
     again = chunks.join(first, ["high", "low"]).filter("NOT (id <=> keep_id AND start = keep_start)")
-    # Chunks that follow each other make a passage.
+    # Repeats that follow each other make a passage.
     order = Window.partitionBy("id").orderBy("nth")
-    passages = (
-        again.groupBy("id", "nth", "start", "bytes", "words", "before", "after")
-        .agg(F.collect_set("keep_id").alias("keep_id"))
+    passages = stage(
+        again.groupBy("id", "nth", "start", "bytes", "words", "tail", "before", "after")
+        .agg(F.min(F.struct("keep_id", "keep_start")).alias("keep"))
         .withColumn("island", F.col("nth") - F.row_number().over(order))
+        .withColumn("apart", F.col("start") - F.col("keep.keep_start"))
         .groupBy("id", "island")
         .agg(
             F.min("start").alias("start"), F.max(F.col("start") + F.col("bytes")).alias("end"),
-            F.sum("words").alias("n_words"), F.min_by("before", "nth").alias("before"), F.max_by("after", "nth").alias("after"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("keep_id")))).alias("keep_ids"),
+            (F.sum("words") + F.max_by("tail", "nth")).alias("n_words"), F.min_by("before", "nth").alias("before"), F.max_by("after", "nth").alias("after"),
+            F.array_sort(F.collect_set("keep.keep_id")).alias("keep_ids"),
+            F.min("apart").alias("apart"), (F.min("apart") == F.max("apart")).alias("straight"),
         )
+        .filter(F.col("n_words") + F.col("before") + F.col("after") >= words)
+        .withColumn("straight", F.col("straight") & (F.size("keep_ids") == 1))
     )
-    return passages.filter(F.col("n_words") + F.col("before") + F.col("after") >= words).select(
-        F.col("id").alias(id_col), "start", "end", "n_words", "keep_ids"
+    columns = [F.col("id").alias(id_col), "start", "end", "n_words", "keep_ids"]
+    whole = _extended(docs, passages.filter("straight"), id_col, text_col).filter(F.col("n_words") >= words)
+    return whole.select(*columns).unionByName(passages.filter("NOT straight").select(*columns))
+
+
+def _extended(docs: DataFrame, passages: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``passages`` with the bytes before and behind that are as in the text they repeat."""
+    mine = passages.select("id", F.array("start", "end").alias("at"))
+    theirs = passages.select(
+        F.col("keep_ids")[0].alias("id"), F.array(F.col("start") - F.col("apart"), F.col("end") - F.col("apart")).alias("at")
     )
+    # A text has no more places than chunks, whoever repeats them.
+    places = mine.unionByName(theirs).groupBy("id").agg(F.collect_set("at").alias("places"))
+    texts = docs.select(column(id_col).alias("id"), column(text_col).cast("string").alias("text"))
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def surroundings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in bounded(batches, 1, 4 << 20):
+            row, at, before, behind = [], [], [], []
+            for i, (text, places_) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())):
+                data = (text or "").encode()
+                for lo, hi in places_:
+                    row.append(i)
+                    at.append([lo, hi])
+                    # A mark for the text's beginning, so that a first word counts as whole.
+                    before.append((b" " if lo <= REACH else b"") + data[max(0, lo - REACH) : lo])
+                    behind.append(data[hi : hi + REACH])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0).take(pa.array(row, pa.int64())), pa.array(at, pa.list_(pa.int32())),
+                    pa.array(before, pa.binary()), pa.array(behind, pa.binary()),
+                ],
+                names=["id", "at", "before", "behind"],
+            )
+
+    around = texts.join(places, "id").mapInArrow(surroundings, f"id {kind}, at array<int>, before binary, behind binary")
+    around = stage(around.groupBy("id", "at").agg(F.min("before").alias("before"), F.min("behind").alias("behind")))
+    own = around.select("id", F.col("at")[0].alias("start"), F.col("at")[1].alias("end"), "before", "behind")
+    other = around.select(
+        F.col("id").alias("keep_id"), F.col("at")[0].alias("keep_start"), F.col("at")[1].alias("keep_end"),
+        F.col("before").alias("keep_before"), F.col("behind").alias("keep_behind"),
+    )
+    pairs = (
+        passages.drop("before").join(own, ["id", "start", "end"])
+        .withColumns({"keep_id": F.col("keep_ids")[0], "keep_start": F.col("start") - F.col("apart"), "keep_end": F.col("end") - F.col("apart")})
+        .join(other, ["keep_id", "keep_start", "keep_end"])
+        .select("before", "keep_before", "behind", "keep_behind", "id", "start", "end", "n_words", "keep_ids")
+    )
+
+    def extend(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            start, end, words = [], [], []
+            left = zip(*(part.column(i).to_pylist() for i in (0, 1)))
+            right = zip(*(part.column(i).to_pylist() for i in (2, 3)))
+            given = zip(*(part.column(i).to_pylist() for i in (5, 6, 7)))
+            for (a, b), (c, d), (lo, hi, n) in zip(left, right, given):
+                k = _common(a[::-1], b[::-1])
+                before, m = a[len(a) - k :], _common(c, d)
+                behind = c[:m]
+                while before and before[0] & 0xC0 == 0x80:
+                    before = before[1:]
+                if m < len(c) and c[m] & 0xC0 == 0x80:  # not into a character
+                    while behind and behind[-1] & 0xC0 == 0x80:
+                        behind = behind[:-1]
+                    behind = behind[:-1]
+                # A word counts where it begins; a word that began before the match doesn't.
+                n += len((b"x" + before).split()) - 1 + len((b"x" + behind).split()) - 1
+                start.append(max(0, lo - len(before)))
+                end.append(hi + len(behind))
+                words.append(n)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(4), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(words, pa.int64()), part.column(8)],
+                names=["id", "start", "end", "n_words", "keep_ids"],
+            )
+
+    return pairs.mapInArrow(extend, f"id {kind}, start int, end int, n_words long, keep_ids array<{kind}>")
+
+
+def _common(a: bytes, b: bytes) -> int:
+    """How many bytes two begin with in common."""
+    n = min(len(a), len(b))
+    for i in range(n):
+        if a[i] != b[i]:
+            return i
+    return n
 
 
 def remove(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
