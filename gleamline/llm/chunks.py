@@ -170,7 +170,10 @@ def repeats(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_co
     )
     columns = [F.col("id").alias(id_col), "start", "end", "n_words", "keep_ids"]
     whole = _extended(docs, passages.filter("straight"), id_col, text_col).filter(F.col("n_words") >= words)
-    return whole.select(*columns).unionByName(passages.filter("NOT straight").select(*columns))
+    # A text that repeats a short piece of its own again and again has its words already.
+    within = F.col("keep_ids") == F.array("id")
+    mixed = passages.filter(~F.col("straight") & ((F.col("n_words") >= words) | ~within))
+    return whole.select(*columns).unionByName(mixed.select(*columns))
 
 
 def _extended(docs: DataFrame, passages: DataFrame, id_col: str, text_col: str) -> DataFrame:
