@@ -308,13 +308,9 @@ def drop_near_duplicates(
     """The rows of ``docs`` whose identifier is their component's smallest, and those that have none."""
     marks = near_duplicates(docs, shingle, bits, id_col, text_col)
     mine, key = fresh(docs, "drop_id", "drop_text")
-    drop = marks.filter(column(id_col) != F.col("component_id")).select(
+    drop = marks.filter(~column(id_col).eqNullSafe(F.col("component_id"))).select(
         column(id_col).alias(mine), F.col("text_key").alias(key)
     )
-    null_drop = marks.filter(column(id_col).isNull() & F.col("component_id").isNotNull()).select(
-        column(id_col).alias(mine), F.col("text_key").alias(key)
-    )
-    drop = drop.unionByName(null_drop).distinct()
     same = column(id_col).eqNullSafe(F.col(mine)) & (F.xxhash64(column(text_col)) == F.col(key))
     return docs.join(drop, same, "left_anti")
 
