@@ -232,7 +232,7 @@ def robust_shapes(rows: DataFrame, steps: int = STEPS) -> DataFrame:
 
 def judge(docs: DataFrame, cut: float = CUT) -> DataFrame:
     """doc_id, the measures, base_failed, kept, distance: the verdict on every document."""
-    rows = stage(_grouped(statistics(docs)))
+    rows = stage(_grouped(stage(statistics(docs))))
     counted = rows.filter(~F.col("base_failed"))
     enough = counted.groupBy("g").count().filter(F.col("count") >= LEAST).select("g")
     shapes = stage(robust_shapes(counted.join(enough, "g")))
