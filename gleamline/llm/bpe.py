@@ -269,7 +269,7 @@ def encoder(path: str, kind: str) -> Encoder:
         vocabulary = Vocabulary(path)
         ids = kind == "ids"
         form = packed if ids else written(vocabulary.token)
-        _encoders[path, kind] = Encoder(vocabulary, form, 400_000 if ids else 200_000)
+        _encoders[path, kind] = Encoder(vocabulary, form, 200_000 if ids else 120_000)
     return _encoders[path, kind]
 
 

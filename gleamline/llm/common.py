@@ -61,7 +61,7 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
-def bounded(batches: Iterable[pa.RecordBatch], text: int, size: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+def bounded(batches: Iterable[pa.RecordBatch], text: int, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Batches whose texts, in column number ``text``, have about ``size`` bytes, or one row."""
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0)
