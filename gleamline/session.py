@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +45,22 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` staged for a block and deleted after it.
+
+    For wide tables that end in a smaller staged one: nothing lazy that reads it may leave the block.
+    """
+    spark = df.sparkSession
+    location = f"{staging_root(spark)}/{uuid.uuid4().hex}"
+    try:
+        df.write.option("compression", "zstd").parquet(location)
+        yield spark.read.schema(df.schema).parquet(location)
+    finally:
+        path, fs = _filesystem(spark, location)
+        fs.delete(path, True)
+
+
 def clear_staging(spark: SparkSession) -> None:
     """Delete this application's staged tables; results built on them become unreadable."""
     root = _roots.pop(spark.sparkContext.applicationId, None)
