@@ -28,11 +28,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleamline.llm.common import bounded, column, fresh
-from gleamline.session import stage
+from gleamline.session import scratch, stage
 
 WINDOW = 16
 SPAN = 96
@@ -40,6 +40,11 @@ LEAST = 12
 WORDS = 50
 #: No byte of a shared passage is further than this from its first or last shared chunk.
 REACH = SPAN + WINDOW + 2 * LEAST + 3
+#: What is counted of a chunk and its next one: the bytes of both, the words that begin in it, those that
+#: begin in the next, and those within ``REACH`` before and after the two.
+SIZES = ("bytes", "words", "tail", "before", "after")
+#: Bits for each: two chunks have less than 2 * (SPAN + LEAST + 3) + SPAN bytes.
+BITS = 12
 
 #: A fixed random number for each byte, made by a multiplicative rule.
 GEAR = ((np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
@@ -92,15 +97,15 @@ def pairs_of(data: bytes) -> tuple[np.ndarray, list[bytes]]:
 
 
 def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, nth, start, bytes, words, tail, before, after, high, low): every chunk with its next one, in bytes.
+    """(id, at, sizes, high, low): every chunk with its next one, by digest.
 
-    ``words`` counts the words that begin in the chunk, ``tail`` those in the next, ``before`` and ``after``
-    those within ``REACH`` of the two.
+    ``at`` holds the chunk's number and its first byte, ``sizes`` the counts named in ``SIZES``, each in
+    a few bits of one number, as every chunk of every text is shuffled.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in bounded(batches, 1, 4 << 20):
-            row, nth, start, size, words, tail, before, after, digests = [], [], [], [], [], [], [], [], []
+            row, at, sizes, digests = [], [], [], []
             for i, text in enumerate(part.column(1).to_pylist()):
                 data = (text or "").encode()
                 ends, found = pairs_of(data)
@@ -114,26 +119,33 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
                 first[1:] &= blank[:-1]
                 count = np.concatenate([[0], np.cumsum(first)])
                 row.append(np.full(len(ends), i))
-                nth.append(np.arange(len(ends)))
-                start.append(begins)
-                size.append(ends - begins)
-                words.append(count[middles] - count[begins])
-                tail.append(count[ends] - count[middles])
-                before.append(count[begins] - count[np.maximum(begins - REACH, 0)])
-                after.append(count[np.minimum(ends + REACH, len(raw))] - count[ends])
+                at.append((np.arange(len(ends)) << 32) | begins)
+                counts = {
+                    "bytes": ends - begins,
+                    "words": count[middles] - count[begins],
+                    "tail": count[ends] - count[middles],
+                    "before": count[begins] - count[np.maximum(begins - REACH, 0)],
+                    "after": count[np.minimum(ends + REACH, len(raw))] - count[ends],
+                }
+                sizes.append(sum(counts[name] << (BITS * k) for k, name in enumerate(SIZES)))
                 digests += found
             if not row:
                 continue
             pair = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            i32 = [pa.array(np.concatenate(x).astype(np.int32)) for x in (nth, start, size, words, tail, before, after)]
+            numbers = [np.concatenate(at), np.concatenate(sizes), pair[:, 0].copy(), pair[:, 1].copy()]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(pa.array(np.concatenate(row))), *i32, pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())],
-                names=["id", "nth", "start", "bytes", "words", "tail", "before", "after", "high", "low"],
+                [part.column(0).take(pa.array(np.concatenate(row))), *(pa.array(x, pa.int64()) for x in numbers)],
+                names=["id", "at", "sizes", "high", "low"],
             )
 
     rows = docs.select(column(id_col).alias("id"), column(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, nth int, start int, bytes int, words int, tail int, before int, after int, high long, low long")
+    return rows.mapInArrow(run, f"id {kind}, at long, sizes long, high long, low long")
+
+
+def size_of(name: str) -> Column:
+    """One of the counts in ``sizes``."""
+    return F.shiftright("sizes", BITS * SIZES.index(name)).bitwiseAND((1 << BITS) - 1).cast("int")
 
 
 def repeats(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,21 +153,37 @@ def repeats(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_co
 
     ``keep_ids`` are the texts that hold the passage's chunks first.
     """
-    chunks = stage(cut(docs, id_col, text_col))
-    place = F.struct("id", "start")
-    first = (
+    with scratch(cut(docs, id_col, text_col)) as chunks:
+        passages = stage(_passages(chunks, words))
+    columns = [F.col("id").alias(id_col), "start", "end", "n_words", "keep_ids"]
+    whole = _extended(docs, passages.filter("straight"), id_col, text_col).filter(F.col("n_words") >= words)
+    # A text that repeats a short piece of its own again and again has its words already.
+    within = F.col("keep_ids") == F.array("id")
+    mixed = passages.filter(~F.col("straight") & ((F.col("n_words") >= words) | ~within))
+    return whole.select(*columns).unionByName(mixed.select(*columns))
+
+
+def _passages(chunks: DataFrame, words: int) -> DataFrame:
+    """Runs of repeated chunks that may have ``words`` words with what is beside them."""
+    start = F.col("at").bitwiseAND(0xFFFFFFFF).cast("int")
+    place = F.struct("id", start.alias("start"))
+    # Written, so that both sides of the join come from plain shuffles, whose hot parts Spark can split.
+    first = stage(
         chunks.filter("id IS NOT NULL")
         .groupBy("high", "low")
         .agg(F.min(place).alias("keep"), F.max(place).alias("last"))
         .filter("keep != last")
         .select("high", "low", F.col("keep.id").alias("keep_id"), F.col("keep.start").alias("keep_start"))
     )
-    again = chunks.join(first, ["high", "low"]).filter("NOT (id <=> keep_id AND start = keep_start)")
-    # Repeats that follow each other make a passage.
+    itself = F.col("id").eqNullSafe(F.col("keep_id")) & (start == F.col("keep_start"))
+    again = chunks.join(first, ["high", "low"]).filter(~itself).drop("high", "low")
+    # Repeats that follow each other make a passage; one shuffle by text serves all that follows.
     order = Window.partitionBy("id").orderBy("nth")
-    passages = stage(
-        again.groupBy("id", "nth", "start", "bytes", "words", "tail", "before", "after")
+    return (
+        again.repartition("id")
+        .groupBy("id", "at", "sizes")
         .agg(F.min(F.struct("keep_id", "keep_start")).alias("keep"))
+        .withColumns({"nth": F.shiftright("at", 32).cast("int"), "start": start, **{name: size_of(name) for name in SIZES}})
         .withColumn("island", F.col("nth") - F.row_number().over(order))
         .withColumn("apart", F.col("start") - F.col("keep.keep_start"))
         .groupBy("id", "island")
@@ -168,12 +196,6 @@ def repeats(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_co
         .filter(F.col("n_words") + F.col("before") + F.col("after") >= words)
         .withColumn("straight", F.col("straight") & (F.size("keep_ids") == 1))
     )
-    columns = [F.col("id").alias(id_col), "start", "end", "n_words", "keep_ids"]
-    whole = _extended(docs, passages.filter("straight"), id_col, text_col).filter(F.col("n_words") >= words)
-    # A text that repeats a short piece of its own again and again has its words already.
-    within = F.col("keep_ids") == F.array("id")
-    mixed = passages.filter(~F.col("straight") & ((F.col("n_words") >= words) | ~within))
-    return whole.select(*columns).unionByName(mixed.select(*columns))
 
 
 def _extended(docs: DataFrame, passages: DataFrame, id_col: str, text_col: str) -> DataFrame:
