@@ -7,7 +7,9 @@ byte is read once for all rules.  The few parts in which a rule ends are read ag
 for the matches' exact places: from the left, without overlaps, as long as possible.
 
 Spans are (kind, start, end) in code points, the end exclusive.  A rule may ask for a least length of
-its match or of what stands after its head; shorter matches are dropped after they were found.
+its match or of what stands after its head; shorter matches are dropped after they were found.  A
+private key's match goes on over its body to its last line, or where that is missing over all that may be
+key; a word that follows directly may then count as its last piece.
 
 Defined cases: a null text counts as empty.  Texts of any length are read whole.  Rows that repeat and
 null identifiers are passed on as they are; an empty table gives no rows; other columns are passed on by
@@ -39,6 +41,8 @@ class Rule:
     least: int = 0
     #: What stands before the secret itself.
     head: str = ""
+    #: What follows and belongs to the secret, line breaks included; ``pattern`` alone tells the rule.
+    body: str = ""
 
 
 _WORD = r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
@@ -49,12 +53,20 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 18),
     Rule("hex", r"[0-9a-f]+", 16),
 )
+# What follows a private key's first line: anything up to its last line, if no other such line comes before;
+# without a last line header fields and base64, one short piece included, as a key's last line may be short.
+_BASE64 = r"[A-Za-z0-9+/=]"
+_BREAK = r"""[\x20\t>"'|#*]*[\r\n][\x20\t\r\n>"'|#*]*"""
+_GAP = r"""[\x20\t\r\n>"'|#*,;`\\]+"""
+_TO_END = r"(-{0,4}[^-])*-----END[A-Z\x20]*PRIVATE\x20KEY-{0,5}"
+_NO_END = rf"({_GAP}[A-Za-z][A-Za-z0-9-]*:\x20[^\r\n\\]*)*({_BREAK}{_BASE64}+|{_GAP}{_BASE64}{{16,}})*({_GAP}{_BASE64}{{16,}}{_GAP}{_BASE64}+)?"
+
 # Public forms of other keys.
 MORE = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 40),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 15),
     Rule("google", r"AIza[A-Za-z0-9_-]+", 39),
-    Rule("private", r"-----BEGIN[A-Z\x20]*PRIVATE\x20KEY-----"),
+    Rule("private", r"-----BEGIN[A-Z\x20]*PRIVATE\x20KEY-----", body=f"({_TO_END}|{_NO_END})"),
 )
 RULES = BASE + MORE
 
@@ -70,7 +82,7 @@ class Scanner:
             for r in rules
         ]
         self.all: Automaton = compile_rules(told, anywhere=True)
-        self.each = [compile_rules([r.head + r.pattern]) for r in rules]
+        self.each = [compile_rules([r.head + r.pattern + r.body]) for r in rules]
         self.heads = [compile_rules([r.head]) if r.head else None for r in rules]
         # Bytes that lead from every state to the start.
         self.reset = (self.all.next == self.all.start).all(axis=0)
