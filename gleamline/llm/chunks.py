@@ -1,21 +1,22 @@
 """Repeated passages by content-defined chunking with a gear rolling hash.
 
 A gear hash over the last ``WINDOW`` bytes is rolled over the whole text; a chunk ends where the hash is
-the smallest of the ``SPAN`` around it, and ``LEAST`` bytes or more after the last end.  A boundary
-depends on the bytes near it, so an insertion moves no boundary beyond the next few.  Each chunk is taken
-with the one that follows it and deduplicated by a 128-bit digest of the two, which leaves hardly any
-chance repeats of common words: the first occurrence by identifier and place stays.
+the smallest of some ``SPAN`` bytes around it, which depends on the bytes near it alone.  The ``SEED`` bytes
+before each end are deduplicated by a digest: the first occurrence by identifier and place stays.
 
-A passage shared by two texts shares all its chunks but those within ``REACH`` bytes of its ends.  Repeats
-next to each other are one passage; if all repeat the same text at the same distance, the bytes
-before and behind are compared with that text's, so the passage is reported whole.  It is reported if
-it has at least ``words`` words; one that repeats several texts, if it may have them with what is beside it.
+Fifty words have ``SEED + SPAN - 1`` bytes at least, so whatever their lengths, two texts that share them
+share a whole window of ``SPAN`` places, the end chosen in it and the seed before that.  A repeated seed is
+set beside the first text that holds it, or beside its last occurrence in the same text; seeds at the same
+distance that meet are one piece.  Its bytes are compared with that text's before and behind, on to the
+first difference, and what then has ``words`` words or more is reported, overlapping passages as one.
 
 Only digests, identifiers and places are shuffled for all chunks; texts only meet the places at which they
 are to be compared.  A chunk that a third of all texts hold is counted in each task first; in the join
 back to the texts each digest has one row on one side, which Spark splits.
 
-Defined cases: a null or empty text has no chunks, and a text of a single one no 50 words to repeat.  Rows that repeat are texts of their own at the same
+Defined cases: a null or empty text has no chunks, and a text below ``SEED + SPAN - 1`` bytes no 50 words to
+repeat; with fewer ``words`` asked for, passages below those bytes may have no seed.  Rows that repeat are
+texts of their own at the same
 places: of rows equal in identifier, place and digest the first one counted stays, so identical rows are
 no repeats of each other.  Null identifiers are never first and have no row in the report.  An empty table
 gives no rows; other columns are passed on by ``remove`` and otherwise ignored, whatever their names.
@@ -35,16 +36,18 @@ from gleamline.llm.common import bounded, column, fresh
 from gleamline.session import scratch, stage
 
 WINDOW = 16
-SPAN = 96
-LEAST = 12
+SPAN = 52
+SEED = 48
 WORDS = 50
-#: No byte of a shared passage is further than this from its first or last shared chunk.
-REACH = SPAN + WINDOW + 2 * LEAST + 3
-#: What is counted of a chunk and its next one: the bytes of both, the words that begin in it, those that
-#: begin in the next, and those within ``REACH`` before and after the two.
-SIZES = ("bytes", "words", "tail", "before", "after")
-#: Bits for each: two chunks have less than 2 * (SPAN + LEAST + 3) + SPAN bytes.
-BITS = 12
+#: No byte of a shared passage is further than this from its first or last shared seed.
+NEAR = SPAN + 3
+#: Bytes compared before and behind a piece at first, and how many times more where that shows no difference.
+REACH = 64
+FARTHER = 8
+#: What is counted of a seed: the words that begin in it, and within ``NEAR`` before and after it.
+SIZES = ("words", "before", "after")
+#: Bits for each: so few bytes hold fewer than 32 words.
+BITS = 5
 
 #: A fixed random number for each byte, made by a multiplicative rule.
 GEAR = ((np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
@@ -80,27 +83,26 @@ def boundaries(raw: np.ndarray, span: int = SPAN) -> np.ndarray:
     padded = np.append(raw, np.zeros(4, np.uint8))
     for _ in range(3):  # no chunk ends within a character
         ends += (padded[ends] & 0xC0) == 0x80
-    kept, last = [], 0
-    for e in np.unique(ends)[:-1].tolist():
-        if e - last >= LEAST:
-            kept.append(e)
-            last = e
-    return np.array([*kept, n], np.int64)
+    return np.unique(ends)
 
 
-def pairs_of(data: bytes) -> tuple[np.ndarray, list[bytes]]:
-    """The ends of a text's chunks, and a digest of each chunk with the one that follows it."""
-    ends = boundaries(np.frombuffer(data, np.uint8))
-    edges = [0, *ends.tolist()]
-    digest = xxhash.xxh3_128_digest
-    return ends, [digest(data[a:b]) for a, b in zip(edges, edges[2:])]
+def seeds_of(data: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Where the seeds of a text begin and end, and their digests."""
+    raw = np.frombuffer(data, np.uint8)
+    ends = boundaries(raw)
+    ends = ends[ends >= SEED]
+    begins = ends - SEED
+    for _ in range(3):  # no seed begins within a character
+        begins += (raw[begins] & 0xC0) == 0x80
+    digest = xxhash.xxh3_64_digest
+    return begins, ends, [digest(data[a:b]) for a, b in zip(begins.tolist(), ends.tolist())]
 
 
 def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, at, sizes, high, low): every chunk with its next one, by digest.
+    """(id, at, sizes, digest): every seed of every text.
 
-    ``at`` holds the chunk's number and its first byte, ``sizes`` the counts named in ``SIZES``, each in
-    a few bits of one number, as every chunk of every text is shuffled.
+    ``at`` holds the seed's first byte and the words that begin before it, ``sizes`` its bytes and the
+    counts named in ``SIZES``, each in a few bits of one number, as every seed of every text is shuffled.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,102 +110,159 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
             row, at, sizes, digests = [], [], [], []
             for i, text in enumerate(part.column(1).to_pylist()):
                 data = (text or "").encode()
-                ends, found = pairs_of(data)
-                if not found:
+                if len(data) < SEED + SPAN - 1:
                     continue
-                begins = np.concatenate([[0], ends[:-2]])
-                middles, ends = ends[:-1], ends[1:]
+                begins, ends, found = seeds_of(data)
                 raw = np.frombuffer(data, np.uint8)
                 blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
                 first = ~blank
                 first[1:] &= blank[:-1]
                 count = np.concatenate([[0], np.cumsum(first)])
                 row.append(np.full(len(ends), i))
-                at.append((np.arange(len(ends)) << 32) | begins)
+                at.append((begins << 32) | count[begins])
                 counts = {
-                    "bytes": ends - begins,
-                    "words": count[middles] - count[begins],
-                    "tail": count[ends] - count[middles],
-                    "before": count[begins] - count[np.maximum(begins - REACH, 0)],
-                    "after": count[np.minimum(ends + REACH, len(raw))] - count[ends],
+                    "words": count[ends] - count[begins],
+                    "before": count[begins] - count[np.maximum(begins - NEAR, 0)],
+                    "after": count[np.minimum(ends + NEAR, len(raw))] - count[ends],
                 }
-                sizes.append(sum(counts[name] << (BITS * k) for k, name in enumerate(SIZES)))
+                sizes.append(sum((counts[name] << (BITS * k) for k, name in enumerate(SIZES)), (SEED - (ends - begins)) << (BITS * len(SIZES))))
                 digests += found
             if not row:
                 continue
-            pair = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            numbers = [np.concatenate(at), np.concatenate(sizes), pair[:, 0].copy(), pair[:, 1].copy()]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(pa.array(np.concatenate(row))), *(pa.array(x, pa.int64()) for x in numbers)],
-                names=["id", "at", "sizes", "high", "low"],
-            )
+                [
+                    part.column(0).take(pa.array(np.concatenate(row))), pa.array(np.concatenate(at), pa.int64()),
+                    pa.array(np.concatenate(sizes), pa.int32()), pa.array(np.frombuffer(b"".join(digests), np.int64).copy()),
+                ],
+                names=["id", "at", "sizes", "digest"],
+            )
 
-    rows = docs.select(column(id_col).alias("id"), column(text_col).cast("string").alias("text"))
+    rows = docs.select(column(id_col).alias("id"), column(text_col).cast("string").alias("text")).filter("id IS NOT NULL")
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, at long, sizes long, high long, low long")
+    return rows.mapInArrow(run, f"id {kind}, at long, sizes int, digest long")
 
 
 def size_of(name: str) -> Column:
     """One of the counts in ``sizes``."""
-    return F.shiftright("sizes", BITS * SIZES.index(name)).bitwiseAND((1 << BITS) - 1).cast("int")
+    return F.shiftright("sizes", BITS * SIZES.index(name)).bitwiseAND((1 << BITS) - 1)
 
 
 def repeats(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, start, end, n_words, keep_ids): repeated passages, in bytes, and whose chunks they repeat.
+    """(id, start, end, n_words, keep_ids): repeated passages, in bytes, and whose seeds they repeat.
 
-    ``keep_ids`` are the texts that hold the passage's chunks first.
+    ``keep_ids`` are the texts that hold the passage's seeds first.
     """
     with scratch(cut(docs, id_col, text_col)) as chunks:
-        passages = stage(_passages(chunks, words))
-    columns = [F.col("id").alias(id_col), "start", "end", "n_words", "keep_ids"]
-    whole = _extended(docs, passages.filter("straight"), id_col, text_col).filter(F.col("n_words") >= words)
-    # A text that repeats a short piece of its own again and again has its words already.
-    within = F.col("keep_ids") == F.array("id")
-    mixed = passages.filter(~F.col("straight") & ((F.col("n_words") >= words) | ~within))
-    return whole.select(*columns).unionByName(mixed.select(*columns))
-
-
-def _passages(chunks: DataFrame, words: int) -> DataFrame:
-    """Runs of repeated chunks that may have ``words`` words with what is beside them."""
-    start = F.col("at").bitwiseAND(0xFFFFFFFF).cast("int")
+        open_ = stage(_pieces(chunks, words))
+    done, reach = None, REACH
+    while True:
+        found = _extended(docs, open_, reach, id_col, text_col)
+        found = stage(_judged(found if done is None else found.unionByName(done), words))
+        open_, done = found.filter("more").drop("more"), found.filter("NOT more").drop("more")
+        if open_.isEmpty():
+            break
+        reach *= FARTHER
+    return _united(done.filter(F.col("upto") - F.col("first") >= words)).select(F.col("id").alias(id_col), "start", "end", "n_words", "keep_ids")
+
+
+def _pieces(chunks: DataFrame, words: int) -> DataFrame:
+    """(id, keep_ids, with_id, apart, start, end, first, upto): repeated seeds that meet, and what to compare them with.
+
+    ``apart`` bytes before is the same in the text ``with_id``; ``first`` and ``upto`` are the words that
+    begin before ``start`` and before ``end``.  Left out is what cannot have ``words`` words with all
+    that is repeated next to it.
+    """
+    start = F.shiftright("at", 32).cast("int")
     place = F.struct("id", start.alias("start"))
     # Written, so that both sides of the join come from plain shuffles, whose hot parts Spark can split.
     first = stage(
-        chunks.filter("id IS NOT NULL")
-        .groupBy("high", "low")
+        chunks.groupBy("digest")
         .agg(F.min(place).alias("keep"), F.max(place).alias("last"))
         .filter("keep != last")
-        .select("high", "low", F.col("keep.id").alias("keep_id"), F.col("keep.start").alias("keep_start"))
+        .select("digest", F.col("keep.id").alias("keep_id"), F.col("keep.start").alias("keep_start"))
     )
     itself = F.col("id").eqNullSafe(F.col("keep_id")) & (start == F.col("keep_start"))
-    again = chunks.join(first, ["high", "low"]).filter(~itself).drop("high", "low")
-    # Repeats that follow each other make a passage; one shuffle by text serves all that follows.
-    order = Window.partitionBy("id").orderBy("nth")
+    again = chunks.join(first, "digest").filter(~itself)
+    # One shuffle by text serves all that follows.
+    order = Window.partitionBy("id").orderBy("start")
+    same = Window.partitionBy("id", "digest").orderBy("start")
+    side = Window.partitionBy("id", "with_id", "apart").orderBy("start")
+    near = Window.partitionBy("id", "cluster")
+    begun, last = F.col("first") - F.col("before"), F.col("upto") + F.col("after")
     return (
         again.repartition("id")
-        .groupBy("id", "at", "sizes")
+        .groupBy("id", "at", "sizes", "digest")
         .agg(F.min(F.struct("keep_id", "keep_start")).alias("keep"))
-        .withColumns({"nth": F.shiftright("at", 32).cast("int"), "start": start, **{name: size_of(name) for name in SIZES}})
-        .withColumn("island", F.col("nth") - F.row_number().over(order))
-        .withColumn("apart", F.col("start") - F.col("keep.keep_start"))
-        .groupBy("id", "island")
+        .withColumns({"start": start, "first": F.col("at").bitwiseAND(0xFFFFFFFF).cast("int"), **{name: size_of(name) for name in SIZES}})
+        .withColumns({"upto": F.col("first") + F.col("words"), "end": F.col("start") + SEED - F.shiftright("sizes", BITS * len(SIZES))})
+        .withColumn("new", F.coalesce(F.col("start") - F.lag("start").over(order) > NEAR + 3, F.lit(True)).cast("int"))
+        .withColumn("cluster", F.sum("new").over(order))
+        .withColumn("may", F.max(last).over(near) - F.min(begun).over(near))
+        # A seed that the text has again and again is set beside the one before, so that all are at one distance.
+        .withColumn("own", F.lag("start").over(same))
+        .withColumns({"with_id": F.when(F.col("own").isNull(), F.col("keep.keep_id")).otherwise(F.col("id")), "apart": F.col("start") - F.coalesce("own", "keep.keep_start")})
+        .filter(F.col("may") >= words)
+        .withColumn("new", F.coalesce(F.col("start") > F.lag("end").over(side), F.lit(True)).cast("int"))
+        .withColumn("piece", F.sum("new").over(side))
+        .groupBy("id", "with_id", "apart", "piece")
         .agg(
-            F.min("start").alias("start"), F.max(F.col("start") + F.col("bytes")).alias("end"),
-            (F.sum("words") + F.max_by("tail", "nth")).alias("n_words"), F.min_by("before", "nth").alias("before"), F.max_by("after", "nth").alias("after"),
-            F.array_sort(F.collect_set("keep.keep_id")).alias("keep_ids"),
-            F.min("apart").alias("apart"), (F.min("apart") == F.max("apart")).alias("straight"),
+            F.collect_set("keep.keep_id").alias("keep_ids"), F.min("start").alias("start"), F.max("end").alias("end"),
+            F.min("first").alias("first"), F.max("upto").alias("upto"),
         )
-        .filter(F.col("n_words") + F.col("before") + F.col("after") >= words)
-        .withColumn("straight", F.col("straight") & (F.size("keep_ids") == 1))
+        .drop("piece")
     )
 
 
-def _extended(docs: DataFrame, passages: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``passages`` with the bytes before and behind that are as in the text they repeat."""
-    mine = passages.select("id", F.array("start", "end").alias("at"))
-    theirs = passages.select(
-        F.col("keep_ids")[0].alias("id"), F.array(F.col("start") - F.col("apart"), F.col("end") - F.col("apart")).alias("at")
+def _merged(pieces: DataFrame, by: list[str], *more: Column) -> DataFrame:
+    """``pieces`` with those of the same ``by`` that overlap as one."""
+    order = Window.partitionBy(*by).orderBy("start", "end")
+    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return (
+        pieces.withColumn("new", F.coalesce(F.col("start") > reached, F.lit(True)).cast("int"))
+        .withColumn("run", F.sum("new").over(order))
+        .groupBy(*by, "run")
+        .agg(
+            F.array_sort(F.array_distinct(F.flatten(F.collect_set("keep_ids")))).alias("keep_ids"), F.min_by("first", "start").alias("first"),
+            F.max("upto").alias("upto"), *more, F.min("start").alias("start"), F.max("end").alias("end"),
+        )
+        .drop("run")
+    )
+
+
+def _judged(pieces: DataFrame, words: int) -> DataFrame:
+    """``pieces`` at one distance that overlap as one, and with ``more`` where the comparison has to go on.
+
+    That is where it met no difference at an end, and the piece has too few words or its end is that of
+    all passages found there.
+    """
+    left, right = F.min_by("left", F.struct("start", "left")).alias("left"), F.max_by("right", F.struct("end", ~F.col("right"))).alias("right")
+    whole = _merged(pieces.repartition("id"), ["id", "with_id", "apart"], left, right)
+    enough = (F.col("upto") - F.col("first")) >= words
+    order = Window.partitionBy("id", "enough").orderBy("start", "end")
+    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    run = Window.partitionBy("id", "enough", "run")
+    outer = (F.col("left") & (F.col("start") == F.min("start").over(run))) | (F.col("right") & (F.col("end") == F.max("end").over(run)))
+    return (
+        whole.withColumn("enough", enough)
+        .withColumn("new", F.coalesce(F.col("start") > reached, F.lit(True)).cast("int"))
+        .withColumn("run", F.sum("new").over(order))
+        .withColumn("more", (F.col("left") | F.col("right")) & (~F.col("enough") | outer))
+        .drop("enough", "new", "run")
     )
+
+
+def _united(passages: DataFrame) -> DataFrame:
+    """Passages of a text that overlap as one."""
+    return _merged(passages.repartition("id"), ["id"]).withColumn("n_words", (F.col("upto") - F.col("first")).cast("long"))
+
+
+def _extended(docs: DataFrame, pieces: DataFrame, reach: int, id_col: str, text_col: str) -> DataFrame:
+    """``pieces`` with the bytes before and behind, ``reach`` at most, that are as in the text they repeat.
+
+    ``left`` and ``right`` tell whether there was no difference.
+    """
+    mine = pieces.select("id", F.array("start", "end").alias("at"))
+    theirs = pieces.select(F.col("with_id").alias("id"), F.array(F.col("start") - F.col("apart"), F.col("end") - F.col("apart")).alias("at"))
     # A text has no more places than chunks, whoever repeats them.
     places = mine.unionByName(theirs).groupBy("id").agg(F.collect_set("at").alias("places"))
     texts = docs.select(column(id_col).alias("id"), column(text_col).cast("string").alias("text"))
@@ -211,64 +270,75 @@ def _extended(docs: DataFrame, passages: DataFrame, id_col: str, text_col: str)
 
     def surroundings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in bounded(batches, 1, 4 << 20):
-            row, at, before, behind = [], [], [], []
             for i, (text, places_) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())):
                 data = (text or "").encode()
-                for lo, hi in places_:
-                    row.append(i)
-                    at.append([lo, hi])
-                    # A mark for the text's beginning, so that a first word counts as whole.
-                    before.append((b" " if lo <= REACH else b"") + data[max(0, lo - REACH) : lo])
-                    behind.append(data[hi : hi + REACH])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column(0).take(pa.array(row, pa.int64())), pa.array(at, pa.list_(pa.int32())),
-                    pa.array(before, pa.binary()), pa.array(behind, pa.binary()),
-                ],
-                names=["id", "at", "before", "behind"],
-            )
-
-    around = texts.join(places, "id").mapInArrow(surroundings, f"id {kind}, at array<int>, before binary, behind binary")
-    around = stage(around.groupBy("id", "at").agg(F.min("before").alias("before"), F.min("behind").alias("behind")))
-    own = around.select("id", F.col("at")[0].alias("start"), F.col("at")[1].alias("end"), "before", "behind")
+                step = max(1, (4 << 20) // reach)
+                for some in (places_[j : j + step] for j in range(0, len(places_), step)):
+                    # The piece's own first and last byte are with what is before and behind.
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            part.column(0).take(pa.array([i] * len(some), pa.int64())), pa.array(some, pa.list_(pa.int32())),
+                            pa.array([xxhash.xxh3_128_digest(data[lo:hi]) for lo, hi in some], pa.binary()),
+                            pa.array([data[max(0, lo - reach) : lo + 1] for lo, _ in some], pa.binary()),
+                            pa.array([data[hi - 1 : hi + reach] for _, hi in some], pa.binary()),
+                        ],
+                        names=["id", "at", "inner", "before", "behind"],
+                    )
+
+    around = texts.join(places, "id").mapInArrow(surroundings, f"id {kind}, at array<int>, inner binary, before binary, behind binary")
+    sides = F.min(F.struct("inner", "before", "behind")).alias("s")
+    around = stage(around.groupBy("id", "at").agg(sides).select("id", "at", "s.*"))
+    own = around.select("id", F.col("at")[0].alias("start"), F.col("at")[1].alias("end"), "inner", "before", "behind")
     other = around.select(
-        F.col("id").alias("keep_id"), F.col("at")[0].alias("keep_start"), F.col("at")[1].alias("keep_end"),
-        F.col("before").alias("keep_before"), F.col("behind").alias("keep_behind"),
+        F.col("id").alias("with_id"), F.col("at")[0].alias("with_start"), F.col("at")[1].alias("with_end"),
+        F.col("inner").alias("with_inner"), F.col("before").alias("with_before"), F.col("behind").alias("with_behind"),
     )
+    given = ["id", "keep_ids", "with_id", "apart", "start", "end", "first", "upto"]
     pairs = (
-        passages.drop("before").join(own, ["id", "start", "end"])
-        .withColumns({"keep_id": F.col("keep_ids")[0], "keep_start": F.col("start") - F.col("apart"), "keep_end": F.col("end") - F.col("apart")})
-        .join(other, ["keep_id", "keep_start", "keep_end"])
-        .select("before", "keep_before", "behind", "keep_behind", "id", "start", "end", "n_words", "keep_ids")
+        pieces.select(*given).join(own, ["id", "start", "end"])
+        .withColumns({"with_start": F.col("start") - F.col("apart"), "with_end": F.col("end") - F.col("apart")})
+        .join(other, ["with_id", "with_start", "with_end"])
+        .filter("inner = with_inner")
+        .select(*given, "before", "with_before", "behind", "with_behind")
     )
 
     def extend(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            start, end, words = [], [], []
-            left = zip(*(part.column(i).to_pylist() for i in (0, 1)))
-            right = zip(*(part.column(i).to_pylist() for i in (2, 3)))
-            given = zip(*(part.column(i).to_pylist() for i in (5, 6, 7)))
-            for (a, b), (c, d), (lo, hi, n) in zip(left, right, given):
-                k = _common(a[::-1], b[::-1])
-                before, m = a[len(a) - k :], _common(c, d)
-                behind = c[:m]
-                while before and before[0] & 0xC0 == 0x80:
-                    before = before[1:]
-                if m < len(c) and c[m] & 0xC0 == 0x80:  # not into a character
-                    while behind and behind[-1] & 0xC0 == 0x80:
-                        behind = behind[:-1]
-                    behind = behind[:-1]
-                # A word counts where it begins; a word that began before the match doesn't.
-                n += len((b"x" + before).split()) - 1 + len((b"x" + behind).split()) - 1
-                start.append(max(0, lo - len(before)))
-                end.append(hi + len(behind))
-                words.append(n)
+            out = []
+            for lo, hi, first, upto, a, b, c, d in zip(*(part.column(i).to_pylist() for i in range(4, 12))):
+                k, left = _common(a[::-1], b[::-1]), False
+                if k == reach + 1:
+                    k, left = k - 1, True
+                while k > 1 and a[-k] & 0xC0 == 0x80:
+                    k -= 1
+                # A word counts where it begins; one that began before the match in either text doesn't.
+                both = a[-k] not in _BLANK and all(len(x) == k or x[-k - 1] in _BLANK for x in (a, b))
+                begins = a[-1] not in _BLANK and (len(a) == 1 or a[-2] in _BLANK)
+                first += begins - both - _begun(a[len(a) - k :])
+                m = _common(c, d)
+                right = m == reach + 1
+                while m > 1 and m < len(c) and c[m] & 0xC0 == 0x80:  # not into a character
+                    m -= 1
+                if right and m > 1:  # the next byte isn't known
+                    while m > 1 and c[m - 1] & 0xC0 == 0x80:
+                        m -= 1
+                    m -= m > 1
+                out.append((lo - k + 1, hi + m - 1, first, upto + _begun(c[:m]), left, right))
+            numbers = list(zip(*out)) or [[]] * 6
             yield pa.RecordBatch.from_arrays(
-                [part.column(4), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(words, pa.int64()), part.column(8)],
-                names=["id", "start", "end", "n_words", "keep_ids"],
+                [*part.columns[:4], *(pa.array(x, pa.int32()) for x in numbers[:4]), *(pa.array(x, pa.bool_()) for x in numbers[4:])],
+                names=[*given, "left", "right"],
             )
 
-    return pairs.mapInArrow(extend, f"id {kind}, start int, end int, n_words long, keep_ids array<{kind}>")
+    return pairs.mapInArrow(extend, f"id {kind}, keep_ids array<{kind}>, with_id {kind}, apart int, start int, end int, first int, upto int, left boolean, right boolean")
+
+
+_BLANK = b"\t\n\x0b\x0c\r "
+
+
+def _begun(data: bytes) -> int:
+    """How many words begin behind the first byte."""
+    return len(data.split()) - (data[0] not in _BLANK)
 
 
 def _common(a: bytes, b: bytes) -> int:

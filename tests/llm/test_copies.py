@@ -168,6 +168,34 @@ def test_repeated_passages(spark, none):
     assert chunks.repeats(none).count() == 0
 
 
+def test_no_passage_of_short_words_is_missed(spark):
+    rng = random.Random(11)
+
+    def short(n, most):
+        return " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(1, most))) for _ in range(n))
+
+    texts, want = {}, {}
+    for k in range(600):
+        passage = short(50 + k % 2, 1 + k % 4)
+        for i in (2 * k, 2 * k + 1):
+            front = short(rng.randint(0, 60), 6) + f" {i}é"
+            texts[i] = f"{front}\n{passage} é{i} " + short(rng.randint(0, 60), 6)
+            want[i] = (len(f"{front}\n".encode()), passage)
+    lone = short(49, 4)
+    texts |= {2000: f"x\n{lone}\ny", 2001: f"z {lone} w"}
+    # A passage longer than any step of the comparison, with pieces of it in texts before.
+    long = short(900, 9)
+    texts |= {3000 + j: f"{j} " + long[700 * j : 700 * j + 200] for j in range(6)} | {3010: long, 3011: f"front\n{long}\nbehind"}
+    found = {r.doc_id: r for r in chunks.repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert {i for i in found if i < 3000} == {i for i in want if i % 2}
+    for i in (i for i in want if i % 2):
+        start, passage = want[i]
+        r, own = found[i], texts[i].encode()
+        assert r.start <= start and r.end >= start + len(passage) and r.n_words >= len(passage.split()) and r.keep_ids == [i - 1]
+        assert own[r.start : r.end] in texts[i - 1].encode()
+    assert texts[3011].encode()[found[3011].start : found[3011].end].strip() == long.encode() and found[3011].n_words == 900
+
+
 def test_chunks_resist_shifts():
     rng = random.Random(9)
     text = _words(rng, 2000) + " éè \U0001f642" * 50
