@@ -38,8 +38,8 @@ LEAST = 100
 STEPS = 4
 #: Least standard deviation of each statistic, in units: what differs by less is no outlier.
 FLOOR = (0.5, 0.06, 0.05, 0.05, 0.06)
-#: A rejected document's squared distance is over this; 99.99 % of normal vectors are below 25.7.
-CUT = 60.0
+#: A rejected document's squared distance is over this: 99.99 % of normal vectors are below it.
+CUT = 25.7
 #: Median of the squared distance of a normal vector of five statistics.
 _CHI_MEDIAN = 4.3515
 STATS = ("x0", "x1", "x2", "x3", "x4")

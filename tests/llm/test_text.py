@@ -271,6 +271,13 @@ def test_quality(spark, odd, odd_rows, none):
     assert {r.doc_id for r in got if r.kept} <= {8, 9}
 
 
+def test_quality_on_both_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.judge(docs).filter("NOT base_failed").join(labels, "doc_id").groupBy("quality").agg({"*": "count", "kept": "count_if"}).collect()
+    kept = {r["quality"]: r["count_if(kept)"] / r["count(1)"] for r in rows}
+    assert kept[0] <= 0.01 and kept[1] >= 0.99
+
+
 def test_shapes_equal_brute_force(spark):
     rng = np.random.default_rng(3)
     x = np.rint(rng.normal(size=(600, 5)) * [300, 20, 30, 25, 40] + [1400, 450, 60, 50, 70]).astype(int)
