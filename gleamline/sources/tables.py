@@ -10,6 +10,7 @@ from gleamline.functions.numeric import INTEGER_PATTERN, to_number
 from gleamline.functions.text import DEFAULT_NULLS, NULL_TOKENS
 from gleamline.operators.columns import normalize_nulls
 from gleamline.operators.stats import unpivot
+from gleamline.sources.records import read_records
 from gleamline.types import col, columns_of, replace_columns
 
 SURPLUS = "__surplus__"
@@ -20,22 +21,27 @@ def read_table(
 ) -> DataFrame:
     """Scan CSV with a header row and infer each column's type.
 
-    ``multi_line=None`` looks for a line with an odd number of quotes.  Without
-    one no cell spans lines, and Spark may split large files between tasks.
+    Cells may hold line breaks, and files are still split between tasks (``sources/records.py``); the parsed cells are
+    written once, which inference and later steps read column by column.  ``multi_line=False`` promises that no cell
+    does, and scans the files themselves.  ``True`` reads each file in one task, as files whose lines end in CR need.
     """
-    if multi_line is None:
-        multi_line = _quotes_span_lines(spark, path)
-    reader = spark.read.option("multiLine", multi_line).option("escape", '"')
+    reader = spark.read.option("multiLine", multi_line is not False).option("escape", '"')
     names = _header(reader, path)
     # One more column than the header shows catches rows with too many cells.
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, SURPLUS]])
-    cells = reader.option("header", True).schema(schema).csv(path)
+    wide = [*names, SURPLUS]
+    if multi_line is None:
+        cells = _parsed(spark, path, wide)
+    else:
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in wide])
+        cells = reader.option("header", True).schema(schema).csv(path)
     return infer_types(cells, infer=infer)
 
 
-def _quotes_span_lines(spark: SparkSession, path: str) -> bool:
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+def _parsed(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    schema = ", ".join(f"c{i} STRING" for i in range(len(names)))
+    options = {"escape": '"', "multiLine": "true", "maxColumns": str(max(20480, len(names) + 1))}
+    cells = read_records(spark, path, lambda record: F.from_csv(record, schema, options))
+    return cells.select(*[F.col(f"record.c{i}").alias(n) for i, n in enumerate(names)])
 
 
 def _header(reader, path: str) -> list[str]:

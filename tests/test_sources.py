@@ -37,11 +37,12 @@ def test_types_equal_pandas(spark, tmp_path):
     assert T.read_table(spark, written(tmp_path, CSV), infer="normalized").schema["mixed"].dataType.typeName() == "double"
 
 
-def test_quoted_line_breaks_are_found(spark, tmp_path):
+def test_quoted_line_breaks(spark, tmp_path):
     path = written(tmp_path, 'a,b\n1,"two\nlines"\n2,x\n')
-    assert T._quotes_span_lines(spark, path)
-    assert {r["b"] for r in T.read_table(spark, path).collect()} == {"two\nlines", "x"}
-    assert not T._quotes_span_lines(spark, written(tmp_path, 'a\n"x ""y"""\n', "flat.csv"))
+    for multi_line in (None, True):
+        assert {r["b"] for r in T.read_table(spark, path, multi_line).collect()} == {"two\nlines", "x"}
+    flat = written(tmp_path, 'a\n"x ""y"""\n', "flat.csv")
+    assert [[r["a"] for r in T.read_table(spark, flat, m).collect()] for m in (None, False)] == [['x "y"']] * 2
 
 
 def test_long_rows_fail_and_short_rows_are_padded(spark, tmp_path):
