@@ -1,9 +1,12 @@
 """Silhouette of a clustering.
 
-The Euclidean form needs every distance.  Rows are cut into blocks of bounded
-size, and each task adds up, per row of a pair of blocks, the distances to
-every cluster; no pair of rows is ever a record.  Its work still grows with the
-square of the distinct rows.  The squared form needs only sums per cluster.
+The Euclidean form adds up distances only where they can matter: from a row to its own cluster, and to those clusters
+that can be its nearest other one.  The sums of squared distances to a cluster, which are linear work, bound its mean
+distance on both sides: it is at least the distance to the cluster's mean, and at most the root of the mean squared
+distance.  A cluster whose lower bound is above another's upper bound isn't visited; the others are summed exactly.
+
+Rows that ask and rows that are asked are cut into blocks of bounded size, and each task adds up, per row of one block,
+the distances to another; no pair of rows is ever a record.  The squared form needs only sums per cluster.
 """
 
 from __future__ import annotations
@@ -44,7 +47,7 @@ def silhouette_rows(
     )
     order = sorted(sizes)
     if metric == "euclidean":
-        totals = _euclidean_totals(points, order, block_rows)
+        totals = _euclidean_totals(points, order, sizes, block_rows)
     elif metric == "squared":
         totals = _squared_totals(points, order, sizes)
     else:
@@ -64,38 +67,75 @@ def silhouette_rows(
     )
 
 
-def _euclidean_totals(points: DataFrame, order: list[int], block_rows: int) -> DataFrame:
+def visits(points: DataFrame, order: list[int], sizes: dict[int, int]) -> DataFrame:
+    """``(id, num, slots, target)``: the clusters each row must be summed against, its own among them.
+
+    ``order`` names the clusters and ``sizes`` counts their rows, copies included.
+    """
+    squares = stage(_squared_totals(points, order, sizes))
+    width = _widths(points)
+    own = points.select("id", "cluster", "copies").join(squares, "id")
+    # Twice a cluster's mean squared distance from its mean is its rows' mean squared distance from each other.
+    norm = F.aggregate("num", F.lit(0.0), lambda t, x: t + x * x)
+    spread = own.agg(
+        *[F.sum(F.when(F.col("cluster") == c, F.col("totals")[i] * F.col("copies"))).alias(f"v{i}") for i, c in enumerate(order)]
+    ).first()
+    scale = points.agg(F.max(norm).alias("scale")).first()["scale"] or 0.0
+    # Beyond the rounding error of the sums, so that a bound never cuts off the nearest cluster.
+    slack = 1e-10 * (scale + 2.0 * width[1] + 1e-300)
+    lower, upper = [], []
+    for i, c in enumerate(order):
+        mean = F.col("totals")[i] / F.lit(float(sizes[c]))
+        inner = (spread[f"v{i}"] or 0.0) / (2.0 * float(sizes[c]) ** 2)
+        lower.append(F.sqrt(F.greatest(mean - F.lit(inner + slack), F.lit(0.0))))
+        upper.append(F.sqrt(F.greatest(mean, F.lit(0.0)) + F.lit(slack)))
+    other = [F.when(F.col("cluster") != F.lit(c), u) for c, u in zip(order, upper)]
+    nearest = F.array_min(F.array(*other))
+    asked = [F.when((F.col("cluster") == F.lit(c)) | (low <= F.col("nearest")), F.lit(c)) for c, low in zip(order, lower)]
+    needed = own.withColumn("nearest", nearest).select("id", F.explode(F.array_compact(F.array(*asked))).alias("target"))
+    return points.select("id", "num", "slots").join(needed, "id")
+
+
+def _euclidean_totals(points: DataFrame, order: list[int], sizes: dict[int, int], block_rows: int) -> DataFrame:
+    """``(id, totals)``: distance sums by cluster in ``order``, null for clusters that were not visited."""
     stacked, squared, _ = _kernel()
     wn, ws = _widths(points)
-    blocks = math.ceil(points.count() / block_rows)
-    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    met = points.withColumn("block", own).withColumn(
-        "partner", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    )
-    met = met.withColumn("i", F.least("block", "partner")).withColumn(
-        "j", F.greatest("block", "partner")
-    )
-
-    def add_up(rows: pd.DataFrame) -> pd.DataFrame:
-        """Distance totals of the rows of one or two blocks towards each other."""
-        first = rows["block"].to_numpy() == rows["i"].iloc[0]
-        same = rows["i"].iloc[0] == rows["j"].iloc[0]
-        n, s = stacked(rows["num"], wn, np.float64), stacked(rows["slots"], ws, np.int64)
-        member = rows["cluster"].to_numpy()[:, None] == np.array(order)[None, :]
-        weight = member * rows["copies"].to_numpy()[:, None].astype(float)
-        ids, parts = rows["id"].to_numpy(), []
-        sides = [(first, first)] if same else [(first, ~first), (~first, first)]
-        for a, b in sides:
-            distance = np.sqrt(squared(n[a], s[a], n[b], s[b]))
-            if same:
-                np.fill_diagonal(distance, 0.0)
-            parts.append(pd.DataFrame({"id": ids[a], "totals": list(distance @ weight[b])}))
-        return pd.concat(parts)
-
-    partial = met.groupBy("i", "j").applyInPandas(add_up, "id bigint, totals array<double>")
-    sums = [F.sum(F.col("totals")[i]).alias(f"t{i}") for i in range(len(order))]
-    totals = F.array(*[F.col(f"t{i}") for i in range(len(order))])
-    return partial.groupBy("id").agg(*sums).select("id", totals.alias("totals"))
+    asking = stage(visits(points, order, sizes))
+    # One row per cluster comes to the driver.
+    ask = {r["target"]: r["count"] for r in asking.groupBy("target").count().collect()}
+    held = {r["cluster"]: r["count"] for r in points.groupBy("cluster").count().collect()}
+    clusters = [c for c in order if c in ask]
+
+    def blocks(name: str, counts: dict):
+        return F.element_at(F.array(*[F.lit(math.ceil(counts[c] / block_rows)) for c in clusters]), F.array_position(
+            F.array(*[F.lit(c) for c in clusters]), F.col(name)).cast("int"))
+
+    def dealt(blocks_of):
+        return F.pmod(F.xxhash64("id"), blocks_of).cast("int")
+
+    def each(blocks_of):
+        return F.explode(F.sequence(F.lit(0), blocks_of - 1))
+
+    left = asking.withColumn("q", dealt(blocks("target", ask))).withColumn("t", each(blocks("target", held)))
+    right = points.withColumnRenamed("cluster", "target")
+    right = right.withColumn("t", dealt(blocks("target", held))).withColumn("q", each(blocks("target", ask)))
+
+    def add_up(asked: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        """Distance sums of one block's rows to another's."""
+        if not len(asked) or not len(members):
+            return pd.DataFrame({"id": [], "target": [], "total": []}).astype({"id": "int64", "target": "int64", "total": float})
+        n, s = stacked(asked["num"], wn, np.float64), stacked(asked["slots"], ws, np.int64)
+        tn, ts = stacked(members["num"], wn, np.float64), stacked(members["slots"], ws, np.int64)
+        distance = np.sqrt(squared(n, s, tn, ts))
+        _, i, j = np.intersect1d(asked["id"].to_numpy(), members["id"].to_numpy(), return_indices=True)
+        distance[i, j] = 0.0  # a row and itself
+        total = distance @ members["copies"].to_numpy(float)
+        return pd.DataFrame({"id": asked["id"].to_numpy(), "target": asked["target"].to_numpy().astype("int64"), "total": total})
+
+    keys = ["target", "q", "t"]
+    partial = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(add_up, "id bigint, target bigint, total double")
+    sums = [F.sum(F.when(F.col("target") == c, F.col("total"))) for c in order]
+    return partial.groupBy("id").agg(F.array(*sums).alias("totals"))
 
 
 def _squared_totals(points: DataFrame, order: list[int], sizes: dict[int, int]) -> DataFrame:

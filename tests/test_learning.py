@@ -7,7 +7,7 @@ from checks.views import load
 from gleamline.ml import models, network
 from gleamline.ml import nearest as N
 from gleamline.ml.features import FeatureSpace, encode_label, one_hot, scale_minmax, scale_standard
-from gleamline.ml.silhouette import silhouette
+from gleamline.ml.silhouette import silhouette, visits
 from gleamline.ml.split import split_exact
 from gleamline.operators import lookup as U
 from gleamline.plans.automl import PREDICTED, automl, infer_task, score_table
@@ -121,6 +121,21 @@ def test_silhouette_equals_brute_force(spark, block):
     assert silhouette(df.withColumn("cluster", F.lit(1))) == 0.0
 
 
+@pytest.mark.parametrize("offset", [0.0, 1e6])
+def test_silhouette_visits_few_pairs_and_misses_no_nearest_cluster(spark, offset):
+    rng = np.random.default_rng(5)
+    centres = rng.uniform(-40, 40, (8, 3)) + offset
+    rows = [((centres[i % 8] + rng.normal(size=3)).tolist(), [i % 3], i % 8) for i in range(240)]
+    rows += [(rng.uniform(-40, 40, 3).tolist() if not offset else (offset + rng.uniform(-40, 40, 3)).tolist(), [0], i) for i in range(8)]
+    df = spark.createDataFrame(rows, "num array<double>, slots array<int>, cluster int")
+    assert silhouette(df, block_rows=16) == pytest.approx(brute_silhouette(rows), abs=1e-6)
+    points = df.selectExpr("num", "slots", "cluster", "1L AS copies").coalesce(1).withColumn("id", F.monotonically_increasing_id())
+    sizes = {c: 31 for c in range(8)}
+    found = visits(points, sorted(sizes), sizes).groupBy("id").count().collect()
+    assert len(found) == len(rows) and min(r["count"] for r in found) >= 2
+    assert sum(r["count"] for r in found) < 0.4 * 8 * len(rows)
+
+
 def test_scalers_and_encoders(spark):
     df = spark.createDataFrame(
         [(1.0, 5.0, "b"), (None, 5.0, "a"), (3.0, 5.0, None), (8.0, 5.0, "b")], "x double, c double, t string"
