@@ -9,24 +9,18 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-import numpy as np
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
-    LinearSVC,
     LogisticRegression,
     MultilayerPerceptronClassifier,
-    OneVsRest,
     RandomForestClassifier,
 )
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from gleamline.ml import network
+from gleamline.ml import kernel, network
 from gleamline.ml.features import FeatureSpace
 from gleamline.ml.nearest import knn_predict
 
@@ -34,7 +28,6 @@ from gleamline.ml.nearest import knn_predict
 DEEP_TREE_ROWS = 100_000
 DEEP, SHALLOW = 30, 15
 HIDDEN = 100
-RANDOM_FEATURES = 256
 # Weights a model may hold on the driver.
 MAX_WEIGHTS = 20_000_000
 
@@ -56,7 +49,7 @@ class Training:
 
 @dataclass
 class Fitted:
-    """A Spark ML model, a neighbour table or a network, on plain or random features."""
+    """A Spark ML model, a neighbour table, a network or a kernel machine."""
 
     kind: str
     model: Model | None = None
@@ -69,8 +62,8 @@ class Fitted:
             return df.join(found, "id")
         if self.kind == "network":
             return network.predict(df, self.state)
-        if self.kind == "random_features":
-            df = random_features(df, self.state)
+        if self.kind == "kernel":
+            return kernel.predict(df, self.state)
         return self.model.transform(df)
 
     def save(self, path: str, spark: SparkSession) -> None:
@@ -87,45 +80,13 @@ class Fitted:
     def load(cls, path: str, spark: SparkSession) -> "Fitted":
         note = json.loads(spark.read.text(f"{path}/fitted").first()["value"])
         model = table = None
-        if note["kind"] in ("spark", "random_features"):
+        if note["kind"] == "spark":
             model = PipelineModel.load(f"{path}/model").stages[0]
         if note["kind"] == "knn":
             table = spark.read.parquet(f"{path}/table")
         return cls(note["kind"], model, table, note["state"])
 
 
-def random_features(df: DataFrame, state: dict) -> DataFrame:
-    """Random Fourier features of the RBF kernel, replacing ``features``.
-
-    A slot picks its row of the projection, so one-hot vectors are never spread out.
-    """
-    bases, seed, gamma = state["bases"], state["seed"], state["gamma"]
-    numbers, size = state["numbers"], state["size"]
-
-    def project(batches):
-        rng = np.random.default_rng(seed)
-        w = rng.normal(scale=np.sqrt(2.0 * gamma), size=(sum(bases) + numbers, size))
-        shift = rng.uniform(0.0, 2.0 * np.pi, size)
-        starts = numbers + np.concatenate([[0], np.cumsum(bases)])[:-1]
-        for b in batches:
-            z = np.tile(shift, (len(b), 1))
-            if numbers and len(b):
-                z += np.stack(b["num"].to_numpy()) @ w[:numbers]
-            if len(bases) and len(b):
-                slots = np.stack(b["slots"].to_numpy())
-                for c, start in enumerate(starts):
-                    seen = slots[:, c] >= 0
-                    z[seen] += w[int(start) + slots[seen, c]]
-            z = np.sqrt(2.0 / size) * np.cos(z)
-            yield b[others].assign(z=list(z))
-
-    others = [n for n in df.columns if n != "features"]
-    schema = T.StructType([*df.select(*others).schema, T.StructField("z", T.ArrayType(T.DoubleType()))])
-    return df.select(*others).mapInPandas(project, schema).select(
-        *others, array_to_vector("z").alias("features")
-    )
-
-
 def _check_width(weights: int) -> None:
     if weights > MAX_WEIGHTS:
         raise ValueError(f"{weights} weights do not fit the driver")
@@ -141,21 +102,12 @@ def _knn(t: Training, classify: bool) -> Fitted:
     return Fitted("knn", table=table, state={"classify": classify})
 
 
-def _on_random_features(estimator, t: Training) -> Fitted:
-    sizes = [t.space.sizes[n] for n in t.space.texts]
-    _check_width(t.space.width * RANDOM_FEATURES)
-    state = {
-        "bases": sizes,
-        "numbers": len(t.space.numbers),
-        "size": RANDOM_FEATURES,
-        "seed": t.seed,
-        "gamma": 1.0 / (t.space.width * (t.space.variance or 1.0)),
-    }
-    lifted = random_features(t.data.select("num", "slots", "features", "label"), state).persist()
-    try:
-        return Fitted("random_features", estimator.fit(lifted), state=state)
-    finally:
-        lifted.unpersist()
+def _kernel_machine(t: Training, classes: int = 0, epsilon: float | None = None) -> Fitted:
+    wide = (len(t.space.numbers), len(t.space.texts))
+    _check_width((sum(wide) + kernel.LANDMARKS) * kernel.LANDMARKS)
+    gamma = 1.0 / (t.space.width * (t.space.variance or 1.0))
+    state = kernel.prepare(t.data, wide, gamma, t.seed)
+    return Fitted("kernel", state=kernel.fit(t.data, state, t.rows, classes, epsilon, seed=t.seed))
 
 
 def logistic(t: Training) -> Fitted:
@@ -178,8 +130,7 @@ def forest_classifier(t: Training) -> Fitted:
 
 
 def svm_classifier(t: Training) -> Fitted:
-    machine = LinearSVC(regParam=1.0 / t.rows, standardization=False)
-    return _on_random_features(machine if t.classes == 2 else OneVsRest(classifier=machine), t)
+    return _kernel_machine(t, classes=t.classes)
 
 
 def mlp_classifier(t: Training) -> Fitted:
@@ -205,10 +156,7 @@ def forest_regressor(t: Training) -> Fitted:
 
 
 def svm_regressor(t: Training) -> Fitted:
-    machine = LinearRegression(
-        loss="huber", regParam=1.0 / t.rows, standardization=False, maxIter=200
-    )
-    return _on_random_features(machine, t)
+    return _kernel_machine(t, epsilon=kernel.EPSILON)
 
 
 def mlp_regressor(t: Training) -> Fitted:
