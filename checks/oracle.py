@@ -338,6 +338,7 @@ O["clean"] = kept("dirty_orders") + auto_orders("k") + orders_with(
     {"order_id": whole("order_id"), "price_txt": whole("price_txt"), "amount": r("amount", 2), "score": whole("score")},
     "c",
 )
+O["clean_fallback"] = O["clean"]
 WIDE_NUMBERS = ["custkey", "balance", "nation_code", "eighth", "grade"]
 # The nation names hold digits, so the automatic run turns them into numbers.
 WIDE_AUTO = ["custkey", "balance", "nation_code", "country", "eighth", "grade"]
@@ -459,6 +460,10 @@ O["parse_strategy"] = (
     "TRUE AS no_fill_unknown, p_size > 25 AS drop_duplicates FROM part"
 )
 
+O["strategy_outcomes"] = (
+    "SELECT p_partkey, CASE p_partkey % 5 WHEN 1 THEN 'empty' WHEN 3 THEN 'usable' ELSE 'unparsable' END AS outcome FROM part"
+)
+
 RUNS = r"""
 WITH users AS (SELECT c_custkey AS id, c_nationkey || '_' || c_mktsegment AS username FROM customer),
 owners AS (SELECT username, min(id) AS user_id FROM users GROUP BY username {0}),

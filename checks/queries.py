@@ -198,6 +198,8 @@ QUERIES["clean"] = cleaned("dirty_orders", "auto_smart")
 QUERIES["clean_wide"] = cleaned("dirty_wide", "auto_smart")
 QUERIES["clean_strategy"] = cleaned("dirty_orders", "ai_agent", STRATEGY)
 QUERIES["clean_suggested"] = cleaned("dirty_orders", "ai_agent")
+# A reply whose object is cut off holds no strategy, so the automatic run takes its place.
+QUERIES["clean_fallback"] = cleaned("dirty_orders", "ai_agent", 'Sure: {"fill_mean": ["amount"}, which drops copies.')
 QUERIES["clean_drop_missing"] = cleaned("dirty_wide", "drop_missing")
 QUERIES["clean_fill_mean"] = cleaned("dirty_wide", "fill_mean")
 QUERIES["clean_remove_outliers"] = cleaned("dirty_wide", "remove_outliers")
@@ -232,6 +234,21 @@ def parse_strategy(spark, sf_dir):
     )
 
 
+@query
+def strategy_outcomes(spark, sf_dir):
+    """Replies of four kinds, one per part, by whether they hold a usable strategy."""
+    name = F.to_json(F.struct(F.array("p_name").alias("fill_mean")))
+    kind = F.col("p_partkey") % 5
+    reply = (
+        F.when(kind == 0, F.concat(F.lit("No plan for "), "p_name"))
+        .when(kind == 1, F.concat("p_name", F.lit(": {} as nothing is to be done")))
+        .when(kind == 2, F.concat(F.lit('{"fill_mean": ["'), "p_name", F.lit('"}')))
+        .when(kind == 3, F.concat(F.lit("```json\n"), name, F.lit("\n```")))
+    )
+    parts = load(spark, sf_dir, "part").select("p_partkey", reply.alias("reply"))
+    return parts.select("p_partkey", G.strategy_outcome(F.col("reply")).alias("outcome"))
+
+
 def run_tables(spark, sf_dir):
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet")

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from gleamline.functions import text
 from gleamline.operators import columns as C
 from gleamline.operators import rows as R
 from gleamline.operators import stats
-from gleamline.plans.suggest import suggest_strategy
+from gleamline.plans.suggest import choose_strategy
 from gleamline.session import stage
 from gleamline.types import Strategy, col, columns_of, conform, is_protected, replace_columns
 
@@ -87,6 +87,21 @@ def _log_removed(log: RunLog, op: str, before: DataFrame, after: DataFrame) -> N
         log.add(op, None, removed)
 
 
+def _stage_logged(log: RunLog, op: str, df: DataFrame, filtered) -> DataFrame:
+    """``filtered(df)`` staged; the rows it takes away are counted by the same scan.
+
+    ``filtered`` must not shuffle: a task before a shuffle may run again after its executor is lost, and be observed twice.
+    An empty result may leave no trace of the observation in its plan, so then the rows before are counted by themselves.
+    """
+    seen = Observation()
+    staged = stage(filtered(df.observe(seen, F.count(F.lit(1)).alias("rows"))))
+    after = staged.count()  # from the footers
+    removed = (seen.get["rows"] if after else df.count()) - after
+    if removed:
+        log.add(op, None, removed)
+    return staged
+
+
 def _auto_columns(df: DataFrame, log: RunLog) -> DataFrame:
     # One scan: nulls per column, and cells that parse per unprotected text column.
     texts = columns_of(df, "text")
@@ -128,26 +143,27 @@ def finalize(df: DataFrame) -> DataFrame:
 MODES = ("ai_agent", "auto_smart", "drop_missing", "fill_mean", "remove_outliers", "manual")
 
 
-def clean(df: DataFrame, mode: str = "auto_smart", strategy: Strategy | dict | None = None):
+def clean(df: DataFrame, mode: str = "auto_smart", strategy: Strategy | dict | str | None = None):
     """A whole cleaning run.
 
     Null spellings and sparse rows go first in every mode.  ``ai_agent`` runs
-    the given strategy, or one suggested from the data, and falls back to the
-    automatic run when there is none.  ``manual`` stops after the common steps.
+    the given strategy, that in a reply's text, or one suggested from the data, and
+    falls back to the automatic run when what was given isn't usable: an empty strategy,
+    or a text that holds none.  ``manual`` stops after the common steps.
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode '{mode}'; one of {', '.join(MODES)}")
     log = RunLog()
     table = C.normalize_nulls(conform(df))
-    kept = stage(R.drop_sparse_rows(table))
-    _log_removed(log, "drop_sparse_rows", table, kept)
+    kept = _stage_logged(log, "drop_sparse_rows", table, R.drop_sparse_rows)
 
     if mode == "ai_agent":
-        strategy = strategy or suggest_strategy(kept)
-        if strategy:
+        plan, outcome = choose_strategy(kept, strategy)
+        if plan is not None:
             log.add("load_strategy")
-            result = apply_strategy(kept, strategy, log)
+            result = apply_strategy(kept, plan, log)
         else:
+            log.add(f"strategy_{outcome}")
             log.add("fallback_auto")
             result = auto_clean(kept, log)
     elif mode == "auto_smart":

@@ -79,8 +79,36 @@ def strategy_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(pairs, "rule string, column string")
 
 
+def _span(c: Column) -> Column:
+    """From the first ``{`` to the last ``}``."""
+    start = F.locate("{", c)
+    return F.substr(c, start, F.length(c) - F.locate("}", F.reverse(c)) - start + 2)
+
+
 def parse_strategy(c: Column) -> Column:
     """A strategy from free text: the span from the first ``{`` to the last ``}``."""
-    start = F.locate("{", c)
-    length = F.length(c) - F.locate("}", F.reverse(c)) - start + 2
-    return F.from_json(F.substr(c, start, length), STRATEGY_SCHEMA)
+    return F.from_json(_span(c), STRATEGY_SCHEMA)
+
+
+USABLE, EMPTY, UNPARSABLE = "usable", "empty", "unparsable"
+
+
+def strategy_outcome(c: Column) -> Column:
+    """Whether free text holds a strategy: an object with a key, one without, or none that parses (a null text too)."""
+    found = F.from_json(F.when(c.contains("{") & c.contains("}"), _span(c)), "map<string,string>")
+    return F.when(found.isNull(), UNPARSABLE).when(F.size(found) == 0, EMPTY).otherwise(USABLE)
+
+
+def choose_strategy(df: DataFrame, given: Strategy | dict | str | None) -> tuple[Strategy | None, str]:
+    """The strategy a run follows, none if it isn't usable, and the outcome.
+
+    ``given`` is a strategy, a reply's text that should hold one, or nothing, for which one is suggested.
+    """
+    if given is None:
+        return suggest_strategy(df), USABLE
+    if isinstance(given, str):
+        text = F.lit(given)
+        row = df.sparkSession.range(1).select(strategy_outcome(text).alias("outcome"), parse_strategy(text).alias("found")).first()
+        given = row["found"].asDict() if row["outcome"] == USABLE and row["found"] else {}
+        return (Strategy.of(given) if row["outcome"] == USABLE else None), row["outcome"]
+    return (Strategy.of(given), USABLE) if given else (None, EMPTY)

@@ -1,5 +1,6 @@
 """Cleaning runs against the same steps written with pandas."""
 
+import json
 import math
 
 import numpy as np
@@ -210,3 +211,29 @@ def test_fitted_steps_run_on_a_stream(spark, tmp_path):
     query.awaitTermination(60)
     high = spark.table("capped").agg({"price": "max"}).first()[0]
     assert high == pytest.approx(bounds["price"][1])
+
+
+@pytest.mark.parametrize("given,outcome", [({}, "empty"), ("", "unparsable"), ("} {", "unparsable"), ("{} {", "empty"), ("none {}", "empty"), ('{"a": [', "unparsable")])
+def test_a_strategy_that_is_not_usable_runs_the_automatic_plan(spark, given, outcome):
+    df = to_spark(spark, messy())
+    result, auto = clean(df, "ai_agent", given), clean(df, "auto_smart")
+    assert sorted(map(str, result.data.collect())) == sorted(map(str, auto.data.collect()))
+    ops = [r["op"] for r in result.log_table().orderBy("seq").collect()]
+    assert [o for o in ops if o.startswith(("strategy_", "fallback_"))] == [f"strategy_{outcome}", "fallback_auto"]
+
+
+def test_a_strategy_in_a_reply_is_run(spark):
+    df = to_spark(spark, messy())
+    plan = {"drop_duplicates": True, "fill_unknown": [df.columns[0]]}
+    told = clean(df, "ai_agent", "Here you are:\n" + json.dumps(plan) + "\nDone.")
+    assert sorted(map(str, told.data.collect())) == sorted(map(str, clean(df, "ai_agent", plan).data.collect()))
+    assert "load_strategy" in {r["op"] for r in told.log_table().collect()}
+
+
+def test_removed_rows_are_counted_by_the_scan_that_removes_them(spark):
+    rows = [(i, None if i % 3 else 1, None if i % 3 else 2, None if i % 6 else 3) for i in range(30)]
+    df = spark.createDataFrame(rows, "id long, a int, b int, c int").repartition(4)
+    assert [r["affected"] for r in clean(df, "manual").log_table().collect() if r["op"] == "drop_sparse_rows"] == [20]
+    nothing = df.where("id % 3 > 0")  # every row goes
+    assert [r["affected"] for r in clean(nothing, "manual").log_table().collect()] == [20]
+    assert clean(df.limit(0), "manual").log_table().collect() == []
