@@ -16,7 +16,8 @@ Components are found with alternating large and small stars; every step is an ag
 
 Defined cases: a null text has no words; texts without words have fingerprint zero and are near each
 other.  Rows that repeat are near each other; ``component_id`` is the smallest identifier that isn't
-null, and null where there is none.  An empty table gives no rows; other columns are passed on by
+null, and null where there is none.  ``drop_near_duplicates`` keeps one row of a component, rows that
+repeat or lack an identifier included.  An empty table gives no rows; other columns are passed on by
 ``drop_near_duplicates`` and otherwise ignored, whatever their names.
 """
 
@@ -278,10 +279,8 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
 
 
-def near_duplicates(
-    docs: DataFrame, shingle: int = 3, bits: int = 2, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """(id, text_key, fp, component_id), one row per row of ``docs``; ``text_key`` is a hash of the text."""
+def _marks(docs: DataFrame, shingle: int, bits: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, text_key, fp, component_id, root), one row per row of ``docs``; a root names a component, with or without identifiers."""
     runs = run_count(docs.sparkSession)
     given = docs.select(
         column(id_col).alias("id"), F.xxhash64(column(text_col)).alias("text_key"), column(text_col).alias("text")
@@ -297,22 +296,45 @@ def near_duplicates(
         )
     )
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    component = rooted.join(least, "root").select("fp", "component_id")
+    component = rooted.join(least, "root").select("fp", "component_id", "root")
     by_fp_run = nodes.select("run", "fp").join(component, "fp")
-    return rows.join(by_fp_run, ["run", "fp"]).select(F.col("id").alias(id_col), "text_key", "fp", "component_id")
+    return rows.join(by_fp_run, ["run", "fp"]).select("id", "text_key", "fp", "component_id", "root")
+
+
+def near_duplicates(
+    docs: DataFrame, shingle: int = 3, bits: int = 2, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(id, text_key, fp, component_id), one row per row of ``docs``; ``text_key`` is a hash of the text."""
+    marks = _marks(docs, shingle, bits, id_col, text_col)
+    return marks.select(F.col("id").alias(id_col), "text_key", "fp", "component_id")
 
 
 def drop_near_duplicates(
     docs: DataFrame, shingle: int = 3, bits: int = 2, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """The rows of ``docs`` whose identifier is their component's smallest, and those that have none."""
-    marks = near_duplicates(docs, shingle, bits, id_col, text_col)
+    """One row of every component of ``docs``: one with the smallest identifier, or without one where none has any.
+
+    Of several such rows one with the smallest hash of its text stays, and of those with equal texts any one.
+    """
+    marks = stage(_marks(docs, shingle, bits, id_col, text_col).select("id", "text_key", "component_id", "root"))
     mine, key = fresh(docs, "drop_id", "drop_text")
-    drop = marks.filter(~column(id_col).eqNullSafe(F.col("component_id"))).select(
-        column(id_col).alias(mine), F.col("text_key").alias(key)
-    )
     same = column(id_col).eqNullSafe(F.col(mine)) & (F.xxhash64(column(text_col)) == F.col(key))
-    return docs.join(drop, same, "left_anti")
+
+    def named(rows: DataFrame) -> DataFrame:
+        return rows.select(F.col("id").alias(mine), F.col("text_key").alias(key))
+
+    foremost = F.col("id").eqNullSafe(F.col("component_id"))
+    drop, least = named(marks.filter(~foremost)), marks.filter(foremost)
+    # Only where rows repeat an identifier, or have none, has a component more than one.
+    several = stage(least.groupBy("root").agg(F.min("text_key").alias("stays"), F.count("*").alias("n")).filter("n > 1").drop("n"))
+    if several.isEmpty():
+        return docs.join(drop, same, "left_anti")
+    least = least.join(several, "root")
+    others = named(least.filter("text_key != stays").select("id", "text_key").distinct())
+    repeated = named(least.filter("text_key = stays").groupBy("id", "text_key").count().filter("count > 1"))
+    kept = docs.join(drop.unionByName(others), same, "left_anti")
+    once = kept.join(repeated, same, "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(repeated, same, "left_anti").unionByName(once)
 
 
 def hexadecimal(fp: str) -> Column:

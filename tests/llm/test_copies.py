@@ -131,6 +131,20 @@ def test_near_copies_on_odd_rows(odd, odd_rows, none):
     assert simhash.drop_near_duplicates(none).count() == 0
 
 
+def test_one_row_of_each_group_stays_where_identifiers_repeat_or_lack(spark):
+    rng = random.Random(3)
+    a, b, c = (_words(rng, 400) for _ in range(3))
+    near = a.rsplit(" ", 1)[0] + " end"
+    rows = [(1, a), (1, a), (2, a), (1, near), (None, a), (None, b), (None, b), (None, b + " x"), (5, c), (4, c)]
+    df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, root int")
+    marks = [tuple(r) for r in simhash.near_duplicates(df).select("fp", "component_id").distinct().collect()]
+    assert {m for _, m in marks} == {1, None, 4}
+    kept = simhash.drop_near_duplicates(df).collect()
+    assert sorted(str(r.doc_id) for r in kept) == ["1", "4", "None"] and len({r.text[:50] for r in kept}) == 3
+    many = df.limit(1).crossJoin(spark.range(500)).drop("id")
+    assert simhash.drop_near_duplicates(many).count() == 1
+
+
 def _words(rng, n):
     return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(n))
 
