@@ -1,4 +1,9 @@
-"""A corpus pipeline: toxic documents go, copies and near copies go, secrets are masked, the rest is packed."""
+"""A corpus pipeline: toxic documents go, copies and near copies go, secrets are masked, the rest is packed.
+
+Defined cases of all stages: a null text counts as empty, and is scored, compared and packed like one.  Of rows that
+repeat, also without an identifier, one stays.  An empty table gives no rows.  Long texts are handled whole.  Extra
+columns are passed on by every stage but the last, whatever their names.  Ties go to the smallest identifier, null last.
+"""
 
 from __future__ import annotations
 
