@@ -75,25 +75,27 @@ def improve(
 ) -> np.ndarray:
     """Dual variables after coordinate descent on one of ``parts`` blocks; ``epsilon`` is None for the hinge loss."""
     rng, dual = np.random.default_rng(seed), dual.copy()
-    here = weights.copy()
-    size = parts * (z**2).sum(axis=1)
-    for _ in range(EPOCHS):
-        moved = 0.0
-        for i in rng.permutation(len(y)):
-            before = dual[i]
-            miss = y[i] - z[i] @ here
-            if epsilon is None:
-                after = y[i] * np.clip(y[i] * (before + miss / size[i]), 0.0, cost)
-            else:
-                at = before * size[i] + miss
-                after = np.clip(np.sign(at) * np.maximum(np.abs(at) - epsilon, 0.0) / size[i], -cost, cost)
-            step = after - before
-            if step.any():
-                dual[i] = after
-                here += parts * np.outer(z[i], step)
-                moved = max(moved, float(np.abs(step).max()))
-        if moved < 1e-4 * cost:
-            break
+    size = (parts * (z**2).sum(axis=1)).tolist()
+    for c in range(dual.shape[1]):  # each column is a problem of its own
+        here, target, now = weights[:, c].copy(), y[:, c].tolist(), dual[:, c].tolist()
+        for _ in range(EPOCHS):
+            moved = 0.0
+            for i in rng.permutation(len(target)).tolist():
+                row, before = z[i], now[i]
+                miss = target[i] - float(row @ here)
+                if epsilon is None:
+                    after = target[i] * min(max(target[i] * (before + miss / size[i]), 0.0), cost)
+                else:
+                    at = before * size[i] + miss
+                    after = math.copysign(min(max(abs(at) - epsilon, 0.0) / size[i], cost), at)
+                step = after - before
+                if step:
+                    now[i] = after
+                    here += (parts * step) * row
+                    moved = max(moved, abs(step))
+            if moved < 1e-4 * cost:
+                break
+        dual[:, c] = now
     return dual
 
 
