@@ -10,6 +10,11 @@ set beside the first text that holds it, or beside its last occurrence in the sa
 distance that meet are one piece.  Its bytes are compared with that text's before and behind, on to the
 first difference, and what then has ``words`` words or more is reported, overlapping passages as one.
 
+The first text with a seed need not hold the whole passage.  Two texts that share more with each other than
+with that first one differ from it at the same place and by the same byte there.  Where comparisons end
+alike, every window of ``words`` whole words over that end is deduplicated by a digest of 128 bits, so that
+no passage of ``words`` whole words is lost, whichever texts hold parts of it before.
+
 Only digests, identifiers and places are shuffled for all chunks; texts only meet the places at which they
 are to be compared.  A chunk that a third of all texts hold is counted in each task first; in the join
 back to the texts each digest has one row on one side, which Spark splits.
@@ -156,13 +161,19 @@ def repeats(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_co
         open_ = stage(_pieces(chunks, words))
     done, reach = None, REACH
     while True:
-        found = _extended(docs, open_, reach, id_col, text_col)
-        found = stage(_judged(found if done is None else found.unionByName(done), words))
-        open_, done = found.filter("more").drop("more"), found.filter("NOT more").drop("more")
+        with scratch(_surroundings(docs, open_, reach, id_col, text_col)) as around:
+            found = _extended(open_, around, reach)
+            found = stage(_judged(found if done is None else found.unionByName(done)))
+        more = F.col("left") | F.col("right")
+        open_, done = found.filter(more), found.filter(~more)
         if open_.isEmpty():
             break
         reach *= FARTHER
-    return _united(done.filter(F.col("upto") - F.col("first") >= words)).select(F.col("id").alias(id_col), "start", "end", "n_words", "keep_ids")
+    told = ["id", "keep_ids", "start", "end", "first", "upto"]
+    enough = done.filter(F.col("upto") - F.col("first") >= words).select(told)
+    with scratch(_windows(docs, _shared_ends(done), words, id_col, text_col)) as windows:
+        others = stage(_repeated(windows, words).select(told))
+    return _united(enough.unionByName(others)).select(F.col("id").alias(id_col), "start", "end", "n_words", "keep_ids")
 
 
 def _pieces(chunks: DataFrame, words: int) -> DataFrame:
@@ -188,6 +199,9 @@ def _pieces(chunks: DataFrame, words: int) -> DataFrame:
     same = Window.partitionBy("id", "digest").orderBy("start")
     side = Window.partitionBy("id", "with_id", "apart").orderBy("start")
     near = Window.partitionBy("id", "cluster")
+    # A seed that the text has again and again is also set beside the one before, so that all are at one distance.
+    by_first = F.struct(F.col("keep.keep_id").alias("with_id"), (F.col("start") - F.col("keep.keep_start")).alias("apart"))
+    by_own = F.struct(F.col("id").alias("with_id"), (F.col("start") - F.col("own")).alias("apart"))
     begun, last = F.col("first") - F.col("before"), F.col("upto") + F.col("after")
     return (
         again.repartition("id")
@@ -198,10 +212,10 @@ def _pieces(chunks: DataFrame, words: int) -> DataFrame:
         .withColumn("new", F.coalesce(F.col("start") - F.lag("start").over(order) > NEAR + 3, F.lit(True)).cast("int"))
         .withColumn("cluster", F.sum("new").over(order))
         .withColumn("may", F.max(last).over(near) - F.min(begun).over(near))
-        # A seed that the text has again and again is set beside the one before, so that all are at one distance.
         .withColumn("own", F.lag("start").over(same))
-        .withColumns({"with_id": F.when(F.col("own").isNull(), F.col("keep.keep_id")).otherwise(F.col("id")), "apart": F.col("start") - F.coalesce("own", "keep.keep_start")})
         .filter(F.col("may") >= words)
+        .withColumn("beside", F.explode(F.when(F.col("own").isNull(), F.array(by_first)).otherwise(F.array_distinct(F.array(by_first, by_own)))))
+        .withColumns({"with_id": F.col("beside.with_id"), "apart": F.col("beside.apart")})
         .withColumn("new", F.coalesce(F.col("start") > F.lag("end").over(side), F.lit(True)).cast("int"))
         .withColumn("piece", F.sum("new").over(side))
         .groupBy("id", "with_id", "apart", "piece")
@@ -229,26 +243,75 @@ def _merged(pieces: DataFrame, by: list[str], *more: Column) -> DataFrame:
     )
 
 
-def _judged(pieces: DataFrame, words: int) -> DataFrame:
-    """``pieces`` at one distance that overlap as one, and with ``more`` where the comparison has to go on.
+def _judged(pieces: DataFrame) -> DataFrame:
+    """``pieces`` at one distance that overlap as one; ``left`` and ``right`` are true where the comparison has to go on."""
+    left, right = F.struct("start", "left"), F.struct("end", ~F.col("right"))
+    ends = [F.min_by(c, left).alias(c) for c in ("left", "left_end")] + [F.max_by(c, right).alias(c) for c in ("right", "right_end")]
+    return _merged(pieces.repartition("id"), ["id", "with_id", "apart"], *ends)
+
 
-    That is where it met no difference at an end, and the piece has too few words or its end is that of
-    all passages found there.
+def _shared_ends(pieces: DataFrame) -> DataFrame:
+    """(id, at): where several pieces that repeat the same bytes of a text end alike.
+
+    Texts that share more than the piece differ from that text at the same place, and by the same byte.
     """
-    left, right = F.min_by("left", F.struct("start", "left")).alias("left"), F.max_by("right", F.struct("end", ~F.col("right"))).alias("right")
-    whole = _merged(pieces.repartition("id"), ["id", "with_id", "apart"], left, right)
-    enough = (F.col("upto") - F.col("first")) >= words
-    order = Window.partitionBy("id", "enough").orderBy("start", "end")
-    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    run = Window.partitionBy("id", "enough", "run")
-    outer = (F.col("left") & (F.col("start") == F.min("start").over(run))) | (F.col("right") & (F.col("end") == F.max("end").over(run)))
-    return (
-        whole.withColumn("enough", enough)
-        .withColumn("new", F.coalesce(F.col("start") > reached, F.lit(True)).cast("int"))
-        .withColumn("run", F.sum("new").over(order))
-        .withColumn("more", (F.col("left") | F.col("right")) & (~F.col("enough") | outer))
-        .drop("enough", "new", "run")
+    end = [
+        F.struct(F.lit(side).alias("side"), F.col(name).alias("end"), F.col(at).alias("at"))
+        for side, name, at in ((0, "left_end", "start"), (1, "right_end", "end"))
+    ]
+    key = ["with_id", "side", "end"]
+    ends = (
+        pieces.select("id", "with_id", "apart", F.explode(F.array(*end)).alias("e"))
+        .filter("e.end IS NOT NULL")
+        .select("id", "with_id", "e.side", (F.col("e.end") - F.col("apart").cast("long") * 256).alias("end"), "e.at")
     )
+    alike = stage(ends.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(*key))
+    return ends.join(alike, key).select("id", "at")
+
+
+def _windows(docs: DataFrame, ends: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, start, end, first, digest): each window of ``words`` whole words that goes over one of ``ends``."""
+    texts = docs.select(column(id_col).alias("id"), column(text_col).cast("string").alias("text"))
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in bounded(batches, 1, 4 << 20):
+            for i, (text, places) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())):
+                data = (text or "").encode()
+                raw = np.frombuffer(data, np.uint8)
+                blank = np.concatenate([[True], (raw == 32) | ((raw >= 9) & (raw <= 13)), [True]])
+                turns = np.flatnonzero(blank[1:] != blank[:-1])
+                begins, ends_ = turns[::2], turns[1::2]
+                n = len(begins) - words + 1
+                if n < 1:
+                    continue
+                at = np.array(places, np.int64)
+                low = np.searchsorted(ends_[words - 1 :], at, "right")
+                high = np.maximum(np.minimum(np.searchsorted(begins, at, "left"), n), low)
+                marks = np.zeros(n + 1, np.int64)
+                np.add.at(marks, low, 1)
+                np.add.at(marks, high, -1)
+                first = np.flatnonzero(np.cumsum(marks[:n]))
+                lo, hi = begins[first], ends_[first + words - 1]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0).take(pa.array(np.full(len(first), i))), *(pa.array(x.astype(np.int32)) for x in (lo, hi, first)),
+                        pa.array([xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(lo.tolist(), hi.tolist())], pa.binary()),
+                    ],
+                    names=["id", "start", "end", "first", "digest"],
+                )
+
+    # A text has two ends a piece at most, and no more pieces than seeds and their copies in it.
+    places = ends.groupBy("id").agg(F.collect_set("at").alias("places"))
+    return texts.join(places, "id").mapInArrow(run, f"id {kind}, start int, end int, first int, digest binary")
+
+
+def _repeated(windows: DataFrame, words: int) -> DataFrame:
+    """The windows that are not the first with their words, as pieces."""
+    place = F.struct("id", "start")
+    kept = windows.groupBy("digest").agg(F.min(place).alias("keep"), F.max(place).alias("last")).filter("keep != last").select("digest", "keep")
+    again = windows.join(kept, "digest").filter(place != F.col("keep"))
+    return again.withColumns({"keep_ids": F.array("keep.id"), "upto": F.col("first") + words})
 
 
 def _united(passages: DataFrame) -> DataFrame:
@@ -256,11 +319,8 @@ def _united(passages: DataFrame) -> DataFrame:
     return _merged(passages.repartition("id"), ["id"]).withColumn("n_words", (F.col("upto") - F.col("first")).cast("long"))
 
 
-def _extended(docs: DataFrame, pieces: DataFrame, reach: int, id_col: str, text_col: str) -> DataFrame:
-    """``pieces`` with the bytes before and behind, ``reach`` at most, that are as in the text they repeat.
-
-    ``left`` and ``right`` tell whether there was no difference.
-    """
+def _surroundings(docs: DataFrame, pieces: DataFrame, reach: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, at, inner, before, behind): a digest of each place in ``pieces``, and ``reach`` bytes on either side."""
     mine = pieces.select("id", F.array("start", "end").alias("at"))
     theirs = pieces.select(F.col("with_id").alias("id"), F.array(F.col("start") - F.col("apart"), F.col("end") - F.col("apart")).alias("at"))
     # A text has no more places than chunks, whoever repeats them.
@@ -268,7 +328,7 @@ def _extended(docs: DataFrame, pieces: DataFrame, reach: int, id_col: str, text_
     texts = docs.select(column(id_col).alias("id"), column(text_col).cast("string").alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
 
-    def surroundings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in bounded(batches, 1, 4 << 20):
             for i, (text, places_) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())):
                 data = (text or "").encode()
@@ -285,9 +345,18 @@ def _extended(docs: DataFrame, pieces: DataFrame, reach: int, id_col: str, text_
                         names=["id", "at", "inner", "before", "behind"],
                     )
 
-    around = texts.join(places, "id").mapInArrow(surroundings, f"id {kind}, at array<int>, inner binary, before binary, behind binary")
+    around = texts.join(places, "id").mapInArrow(run, f"id {kind}, at array<int>, inner binary, before binary, behind binary")
     sides = F.min(F.struct("inner", "before", "behind")).alias("s")
-    around = stage(around.groupBy("id", "at").agg(sides).select("id", "at", "s.*"))
+    return around.groupBy("id", "at").agg(sides).select("id", "at", "s.*")
+
+
+def _extended(pieces: DataFrame, around: DataFrame, reach: int) -> DataFrame:
+    """``pieces`` with the bytes before and behind, ``reach`` at most, that are as in the text they repeat.
+
+    ``left`` and ``right`` tell whether there was no difference; ``left_end`` and ``right_end`` hold the place
+    and the byte of the difference, and are null at the text's own beginning or end.
+    """
+    kind = pieces.schema["id"].dataType.simpleString()
     own = around.select("id", F.col("at")[0].alias("start"), F.col("at")[1].alias("end"), "inner", "before", "behind")
     other = around.select(
         F.col("id").alias("with_id"), F.col("at")[0].alias("with_start"), F.col("at")[1].alias("with_end"),
@@ -307,6 +376,7 @@ def _extended(docs: DataFrame, pieces: DataFrame, reach: int, id_col: str, text_
             out = []
             for lo, hi, first, upto, a, b, c, d in zip(*(part.column(i).to_pylist() for i in range(4, 12))):
                 k, left = _common(a[::-1], b[::-1]), False
+                differs = (lo - k) * 256 + a[-k - 1] if k < len(a) else None
                 if k == reach + 1:
                     k, left = k - 1, True
                 while k > 1 and a[-k] & 0xC0 == 0x80:
@@ -316,6 +386,7 @@ def _extended(docs: DataFrame, pieces: DataFrame, reach: int, id_col: str, text_
                 begins = a[-1] not in _BLANK and (len(a) == 1 or a[-2] in _BLANK)
                 first += begins - both - _begun(a[len(a) - k :])
                 m = _common(c, d)
+                differs_too = (hi - 1 + m) * 256 + c[m] if m < len(c) else None
                 right = m == reach + 1
                 while m > 1 and m < len(c) and c[m] & 0xC0 == 0x80:  # not into a character
                     m -= 1
@@ -323,14 +394,14 @@ def _extended(docs: DataFrame, pieces: DataFrame, reach: int, id_col: str, text_
                     while m > 1 and c[m - 1] & 0xC0 == 0x80:
                         m -= 1
                     m -= m > 1
-                out.append((lo - k + 1, hi + m - 1, first, upto + _begun(c[:m]), left, right))
-            numbers = list(zip(*out)) or [[]] * 6
+                out.append((lo - k + 1, hi + m - 1, first, upto + _begun(c[:m]), left, right, differs, differs_too))
+            numbers = list(zip(*out)) or [[]] * 8
             yield pa.RecordBatch.from_arrays(
-                [*part.columns[:4], *(pa.array(x, pa.int32()) for x in numbers[:4]), *(pa.array(x, pa.bool_()) for x in numbers[4:])],
-                names=[*given, "left", "right"],
+                [*part.columns[:4], *(pa.array(x, pa.int32()) for x in numbers[:4]), *(pa.array(x, pa.bool_()) for x in numbers[4:6]), *(pa.array(x, pa.int64()) for x in numbers[6:])],
+                names=[*given, "left", "right", "left_end", "right_end"],
             )
 
-    return pairs.mapInArrow(extend, f"id {kind}, keep_ids array<{kind}>, with_id {kind}, apart int, start int, end int, first int, upto int, left boolean, right boolean")
+    return pairs.mapInArrow(extend, f"id {kind}, keep_ids array<{kind}>, with_id {kind}, apart int, start int, end int, first int, upto int, left boolean, right boolean, left_end long, right_end long")
 
 
 _BLANK = b"\t\n\x0b\x0c\r "

@@ -210,6 +210,57 @@ def test_no_passage_of_short_words_is_missed(spark):
     assert texts[3011].encode()[found[3011].start : found[3011].end].strip() == long.encode() and found[3011].n_words == 900
 
 
+def brute_windows(texts, words):
+    """Per text the whole words that windows of ``words`` whole words repeat from an earlier place, as bytes."""
+    seen, out = set(), {}
+    for i in sorted(texts):
+        data = texts[i].encode()
+        spans = [m.span() for m in re.finditer(rb"[^ \t-\r]+", data)]
+        for lo, hi in ((spans[j][0], spans[j + words - 1][1]) for j in range(len(spans) - words + 1)):
+            if data[lo:hi] in seen:
+                out.setdefault(i, []).append((lo, hi))
+            seen.add(data[lo:hi])
+    return out
+
+
+def _lost(found, want):
+    """Windows that no reported passage of their text holds."""
+    spans = {}
+    for r in found:
+        spans.setdefault(r.doc_id, []).append((r.start, r.end))
+    return [(i, w) for i, ws in want.items() for w in ws if not any(a <= w[0] and w[1] <= b for a, b in spans.get(i, []))]
+
+
+def test_no_passage_is_missed_whose_parts_stand_in_other_texts(spark):
+    rng = random.Random(23)
+    texts, want = {}, set()
+    for k in range(40):
+        passage, at = _words(rng, 70).split(), 10 * k
+        noise = [_words(rng, 20 + rng.randint(0, 30)) for _ in range(8)]
+        parts = [passage[:45], passage[25:], passage, passage]
+        if k % 4 == 1:  # a part stands twice in the later text, before the passage
+            parts[3] = passage[:45] + _words(rng, 9).split() + passage
+        if k % 4 == 2:  # and in the one that holds the passage first
+            parts[2] = passage[20:60] + _words(rng, 9).split() + passage
+        if k % 4 == 3:  # the text with the parts holds a longer common part with the first copy
+            parts[0] = noise[4].split()[-30:] + passage[:45]
+        for j, part in enumerate(parts):
+            texts[at + j] = f"{noise[2 * j % 8]} {' '.join(part)} {noise[(2 * j + 1) % 8]}"
+        want.add(at + 3)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found, brute = chunks.repeats(docs).collect(), brute_windows(texts, 50)
+    assert want <= set(brute) and {r.doc_id for r in found} == set(brute)
+    assert not _lost(found, brute)
+    assert all(i < r.doc_id or i == r.doc_id for r in found for i in r.keep_ids)
+
+
+def test_no_window_of_the_documents_is_missed(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    brute = brute_windows({r.doc_id: r.text or "" for r in docs.collect()}, 50)
+    found = chunks.repeats(docs).collect()
+    assert brute and not _lost(found, brute)
+
+
 def test_chunks_resist_shifts():
     rng = random.Random(9)
     text = _words(rng, 2000) + " éè \U0001f642" * 50
