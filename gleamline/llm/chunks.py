@@ -199,9 +199,11 @@ def _pieces(chunks: DataFrame, words: int) -> DataFrame:
     same = Window.partitionBy("id", "digest").orderBy("start")
     side = Window.partitionBy("id", "with_id", "apart").orderBy("start")
     near = Window.partitionBy("id", "cluster")
-    # A seed that the text has again and again is also set beside the one before, so that all are at one distance.
+    # What goes over the ends of seeds that meet holds the first or the last of them: these are set beside both.
     by_first = F.struct(F.col("keep.keep_id").alias("with_id"), (F.col("start") - F.col("keep.keep_start")).alias("apart"))
-    by_own = F.struct(F.col("id").alias("with_id"), (F.col("start") - F.col("own")).alias("apart"))
+    by_own = F.struct("with_id", "apart")
+    outermost = F.coalesce((F.col("start") > F.lag("end").over(side)) | (F.lead("start").over(side) > F.col("end")), F.lit(True))
+    both = F.col("own").isNotNull() & F.col("outermost")
     begun, last = F.col("first") - F.col("before"), F.col("upto") + F.col("after")
     return (
         again.repartition("id")
@@ -212,9 +214,12 @@ def _pieces(chunks: DataFrame, words: int) -> DataFrame:
         .withColumn("new", F.coalesce(F.col("start") - F.lag("start").over(order) > NEAR + 3, F.lit(True)).cast("int"))
         .withColumn("cluster", F.sum("new").over(order))
         .withColumn("may", F.max(last).over(near) - F.min(begun).over(near))
+        # A seed that the text has again and again is set beside the one before, so that all are at one distance.
         .withColumn("own", F.lag("start").over(same))
         .filter(F.col("may") >= words)
-        .withColumn("beside", F.explode(F.when(F.col("own").isNull(), F.array(by_first)).otherwise(F.array_distinct(F.array(by_first, by_own)))))
+        .withColumns({"with_id": F.when(F.col("own").isNull(), F.col("keep.keep_id")).otherwise(F.col("id")), "apart": F.col("start") - F.coalesce("own", "keep.keep_start")})
+        .withColumn("outermost", outermost)
+        .withColumn("beside", F.explode(F.when(both, F.array_distinct(F.array(by_own, by_first))).otherwise(F.array(by_own))))
         .withColumns({"with_id": F.col("beside.with_id"), "apart": F.col("beside.apart")})
         .withColumn("new", F.coalesce(F.col("start") > F.lag("end").over(side), F.lit(True)).cast("int"))
         .withColumn("piece", F.sum("new").over(side))
