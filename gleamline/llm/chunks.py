@@ -13,7 +13,8 @@ first difference, and what then has ``words`` words or more is reported, overlap
 The first text with a seed need not hold the whole passage.  Two texts that share more with each other than
 with that first one differ from it at the same place and by the same byte there.  Where comparisons end
 alike, every window of ``words`` whole words over that end is deduplicated by a digest of 128 bits, so that
-no passage of ``words`` whole words is lost, whichever texts hold parts of it before.
+a passage of ``words`` whole words is found whichever texts hold parts of it before.  Ends more than ``FAR``
+bytes from a piece's seeds may stay unknown where the piece lies within a longer run of passages.
 
 Only digests, identifiers and places are shuffled for all chunks; texts only meet the places at which they
 are to be compared.  A chunk that a third of all texts hold is counted in each task first; in the join
@@ -49,6 +50,8 @@ NEAR = SPAN + 3
 #: Bytes compared before and behind a piece at first, and how many times more where that shows no difference.
 REACH = 64
 FARTHER = 8
+#: Bytes from which on only the outermost of overlapping passages are compared farther.
+FAR = 512
 #: What is counted of a seed: the words that begin in it, and within ``NEAR`` before and after it.
 SIZES = ("words", "before", "after")
 #: Bits for each: so few bytes hold fewer than 32 words.
@@ -163,9 +166,8 @@ def repeats(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_co
     while True:
         with scratch(_surroundings(docs, open_, reach, id_col, text_col)) as around:
             found = _extended(open_, around, reach)
-            found = stage(_judged(found if done is None else found.unionByName(done)))
-        more = F.col("left") | F.col("right")
-        open_, done = found.filter(more), found.filter(~more)
+            found = stage(_judged(found if done is None else found.unionByName(done), words, reach))
+        open_, done = found.filter("more").drop("more"), found.filter("NOT more").drop("more")
         if open_.isEmpty():
             break
         reach *= FARTHER
@@ -248,11 +250,29 @@ def _merged(pieces: DataFrame, by: list[str], *more: Column) -> DataFrame:
     )
 
 
-def _judged(pieces: DataFrame) -> DataFrame:
-    """``pieces`` at one distance that overlap as one; ``left`` and ``right`` are true where the comparison has to go on."""
+def _judged(pieces: DataFrame, words: int, reach: int) -> DataFrame:
+    """``pieces`` at one distance that overlap as one, and with ``more`` where the comparison has to go on.
+
+    That is where it met no difference at an end.  From ``FAR`` bytes on, a piece inside a longer run of
+    passages that has enough words by itself is left as it is, with an end that isn't known.
+    """
     left, right = F.struct("start", "left"), F.struct("end", ~F.col("right"))
     ends = [F.min_by(c, left).alias(c) for c in ("left", "left_end")] + [F.max_by(c, right).alias(c) for c in ("right", "right_end")]
-    return _merged(pieces.repartition("id"), ["id", "with_id", "apart"], *ends)
+    whole = _merged(pieces.repartition("id"), ["id", "with_id", "apart"], *ends)
+    unknown = F.col("left") | F.col("right")
+    if reach < FAR:
+        return whole.withColumn("more", unknown)
+    order = Window.partitionBy("id", "enough").orderBy("start", "end")
+    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    run = Window.partitionBy("id", "enough", "run")
+    outer = (F.col("left") & (F.col("start") == F.min("start").over(run))) | (F.col("right") & (F.col("end") == F.max("end").over(run)))
+    return (
+        whole.withColumn("enough", (F.col("upto") - F.col("first")) >= words)
+        .withColumn("new", F.coalesce(F.col("start") > reached, F.lit(True)).cast("int"))
+        .withColumn("run", F.sum("new").over(order))
+        .withColumn("more", unknown & (~F.col("enough") | outer))
+        .drop("enough", "new", "run")
+    )
 
 
 def _shared_ends(pieces: DataFrame) -> DataFrame:
