@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleamline.llm.common import bounded, column, fresh
+from gleamline.llm.common import bounded, column, fresh, slices
 from gleamline.session import scratch, stage
 
 WINDOW = 16
@@ -397,7 +397,7 @@ def _extended(pieces: DataFrame, around: DataFrame, reach: int) -> DataFrame:
     )
 
     def extend(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
+        for part in slices(batches, max(1, (4 << 20) // reach)):
             out = []
             for lo, hi, first, upto, a, b, c, d in zip(*(part.column(i).to_pylist() for i in range(4, 12))):
                 k, left = _common(a[::-1], b[::-1]), False
