@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +77,46 @@ def test_bins_are_whole_and_few():
         binfill.complete({11: 1}, 10)
 
 
+def fewest_bins(items, size):
+    best = len(items)
+
+    def go(at, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if at == len(items):
+            best = len(rooms)
+            return
+        for room in {r for r in rooms if r >= items[at]}:
+            others = list(rooms)
+            others[others.index(room)] -= items[at]
+            go(at + 1, others)
+        go(at + 1, [*rooms, size - items[at]])
+
+    go(0, [])
+    return best
+
+
+def test_bins_are_fewest_on_small_cases():
+    rng, stats, improved = random.Random(5), Counter(), 0
+    for _ in range(400):
+        size = rng.choice((10, 20, 50, 100))
+        items = sorted((rng.randint(max(1, size // 8), size * 2 // 3) for _ in range(rng.randint(1, 11))), reverse=True)
+        want = fewest_bins(items, size)
+        assert binfill.bins_of(binfill.complete(Counter(items), size, None, None, None, stats)) == want
+        assert binfill.bins_of(binfill.complete(Counter(items), size)) == want
+        improved += want < binfill.bins_of(binfill.best_fit(Counter(items), size))
+    assert improved and stats["cut"] and stats["dominated"]
+
+
+def test_dominated_fillings():
+    # With 4 outside, 3 leaving 1 and 3 with 1 could make way for it; 5 could not, and 4 itself is as good.
+    assert binfill.dominated([(3, 1)], 1 << 4, 1) and binfill.dominated([(3, 1), (1, 1)], 1 << 4, 0)
+    assert not binfill.dominated([(5, 1)], 1 << 4, 0) and not binfill.dominated([(4, 1)], 1 << 4, 0)
+    assert not binfill.dominated([(3, 1)], 1 << 5, 1) and binfill.dominated([(2, 2)], 1 << 4, 0)
+    assert binfill.dominated([], 1 << 2, 3) and not binfill.dominated([], 1 << 4, 3)
+
+
 def test_packing(spark, library, odd, none):
     rows = QUERIES["op10_packing"](spark, SF_DIR).collect()
     docs = {r.doc_id: r.text for r in table(spark, "documents").collect()}
@@ -240,8 +281,6 @@ def brute_measures(text):
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
     twice = {w for w in windows if windows.count(w) > 1} if len(windows) < 1500 else None
     if twice is None:
-        from collections import Counter
-
         twice = {w for w, n in Counter(windows).items() if n > 1}
     covered = {i + j for i, w in enumerate(windows) if w in twice for j in range(3)}
     lines, seen, dup = (text or "").split("\n"), set(), 0
