@@ -5,7 +5,8 @@ largest page number.  Payloads are framed in chunked transfer coding; blocks lon
 go on in ``continuation`` records.  Records are written by Spark's text writer, whose line separator is
 the end of a WARC record, so files are written, compressed and committed as any table's.
 
-Reading takes the files as they are.  Records are parsed by their lengths; continuation records are
+Reading takes the files as they are.  Records are parsed by their lengths and decoded where they are
+read; those in segments are read in a second pass over the files that hands on nothing else.  They are
 grouped by the identifier of their origin, ordered by segment number and joined; the total length is
 verified and the transfer coding decoded.  Only records in several segments are shuffled, and what meets
 in one row is one record's block.
@@ -14,7 +15,8 @@ Equal payloads are told by SHA-1 and SHA-256.  They are counted by run first, so
 third of all pages have spreads over the runs.
 
 Defined cases: a null page is empty.  Payloads below ``least`` bytes are all responses.  Null page numbers
-are smaller than any other and written as ``null``.  Of rows that repeat page number and payload one is
+are smaller than any other and written as ``null``.  Pages of any length are written whole, in segments;
+one page's payload meets in one row.  Of rows that repeat page number and payload one is
 the response and the others revisit it.  An empty table gives no records; other columns are ignored,
 whatever their names.
 """
@@ -35,12 +37,15 @@ from pyspark.sql import functions as F
 from gleamline.llm.common import bounded, by_run, column, run_count, run_of, slices
 from gleamline.session import staging_root
 
-SEGMENT = 64 << 10
+SEGMENT = 8 << 10
 CHUNK = 8 << 10
 #: Records in a file: with the segment's length a bound of what a reading task holds.
 FILE_RECORDS = 256
 END = "\r\n\r\n"
 _VERSION = b"WARC/1.1\r\n"
+_GZIP = b"\x1f\x8b"
+#: What is read; records of other types describe the crawl, not pages, and are passed over.
+PAGES = ("response", "revisit")
 
 
 def base32_sha1(data: bytes) -> str:
@@ -126,10 +131,10 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers with lower-case names, block) of each record of a file."""
     at = 0
     while at < len(data):
-        if not data.startswith(_VERSION, at):
+        if not data.startswith(b"WARC/1.", at):
             raise ValueError(f"no record at byte {at}")
         end = data.index(b"\r\n\r\n", at)
-        lines = data[at + len(_VERSION) : end].decode().split("\r\n")
+        lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
         headers = {k.lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
         size = int(headers["content-length"])
         yield headers, data[end + 4 : end + 4 + size]
@@ -175,42 +180,94 @@ def write(pages: DataFrame, path: str, least: int = 0, segment: int = SEGMENT, r
     files.option("compression", "gzip").text(path)
 
 
+def _payload(record_id: str, record_type: str, digest: str | None, total: int | None, block: bytes) -> tuple:
+    """(length, payload) of a whole record, verified; a revisit has the length its head tells and no payload."""
+    if total is not None and total != len(block):
+        raise ValueError(f"{record_id}: segments have {len(block)} bytes instead of {total}")
+    http = block.startswith(b"HTTP/")
+    head, _, body = block.partition(b"\r\n\r\n") if http else (b"", b"", block)
+    lines = (line.partition(b":") for line in head.lower().split(b"\r\n")[1:])
+    fields = {name.strip(): value.strip() for name, _, value in lines}
+    if record_type == "revisit":
+        length = fields.get(b"content-length")
+        return length and int(length), None
+    if fields.get(b"transfer-encoding") == b"chunked":
+        body = unchunked(body)
+    if digest is not None and digest.startswith("sha1:") and digest[5:] != base32_sha1(body):
+        raise ValueError(f"{record_id}: the payload isn't what its digest says")
+    return len(body), body
+
+
+_HEAD = {"record_id": pa.string(), "record_type": pa.string(), "url": pa.string(), "refers_to": pa.string(), "digest": pa.string()}
+_WHOLE = {**_HEAD, "length": pa.int64(), "payload": pa.binary()}
+_PART = {**_HEAD, "segment": pa.int32(), "total": pa.int64(), "block": pa.binary()}
+
+
+def _head(h: dict[str, str]) -> tuple:
+    """The columns of ``_HEAD``: a continuation goes by the identifier of its origin."""
+    own = h.get("warc-segment-origin-id", h["warc-record-id"])
+    return own[1:-1], h["warc-type"], h.get("warc-target-uri"), h.get("warc-refers-to", "")[1:-1] or None, h.get("warc-payload-digest")
+
+
+def _table(rows: list[tuple], columns: dict[str, pa.DataType]) -> pa.RecordBatch:
+    values = list(zip(*rows)) or [[]] * len(columns)
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, columns.values())], names=list(columns))
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(record_id, record_type, url, refers_to, digest, length, payload) of an archive's whole records.
+    """(record_id, record_type, url, refers_to, digest, length, payload) of an archive's responses and revisits.
 
     ``payload`` is null and ``length`` that of the payload referred to where the record is a revisit.
+    Whole records leave their file's task decoded; only those in segments are handed on, grouped and joined.
+    Files may be compressed as a whole, record by record or not at all.  Records of other types are passed
+    over; a block without an HTTP head is its own payload; other digests than SHA-1 are not verified.
     """
     files = spark.read.format("binaryFile").load(path).select("content")
-    names = ["record_id", "record_type", "url", "refers_to", "digest", "segment", "total", "block"]
-    schema = "record_id string, record_type string, url string, refers_to string, digest string, segment int, total long, block binary"
+    kinds = {"segment": "int", "total": "long", "block": "binary", "length": "long", "payload": "binary"}
+    schemas = [", ".join(f"{name} {kinds.get(name, 'string')}" for name in names) for names in (_WHOLE, _PART)]
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def records(batches: Iterable[pa.RecordBatch], segmented: bool) -> Iterator[tuple[dict[str, str], bytes]]:
         for file in slices(batches, 1):
-            rows = []
-            for h, block in parse(gzip.decompress(file.column(0)[0].as_py())):
-                rows.append(
-                    (
-                        h.get("warc-segment-origin-id", h["warc-record-id"])[1:-1], h["warc-type"], h.get("warc-target-uri"),
-                        h.get("warc-refers-to", "")[1:-1] or None, h.get("warc-payload-digest", "").removeprefix("sha1:") or None,
-                        int(h["warc-segment-number"]) if "warc-segment-number" in h else None,
-                        int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None, block,
-                    )
-                )
-            kinds = [pa.string()] * 5 + [pa.int32(), pa.int64(), pa.binary()]
-            columns = list(zip(*rows)) or [[]] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
-
-    records = files.mapInArrow(run, schema)
-    whole = records.filter("segment IS NULL").select("record_id", "record_type", "url", "refers_to", "digest", "total", "block")
-    parts = F.array_sort(F.collect_list(F.struct("segment", "block")))
+            data = file.column(0)[0].as_py()
+            for h, block in parse(gzip.decompress(data) if data.startswith(_GZIP) else data):
+                if ("warc-segment-number" in h) == segmented:
+                    yield h, block
+
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for h, block in records(batches, False):
+            if h["warc-type"] in PAGES:
+                head = _head(h)
+                digest = head[4] and head[4].removeprefix("sha1:")
+                rows.append((*head[:4], digest, *_payload(head[0], head[1], head[4], None, block)))
+                held += len(block)
+            if held > 4 << 20:
+                yield _table(rows, _WHOLE)
+                rows, held = [], 0
+        yield _table(rows, _WHOLE)
+
+    def parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for h, block in records(batches, True):
+            total = h.get("warc-segment-total-length")
+            rows.append((*_head(h), int(h["warc-segment-number"]), total and int(total), block))
+            held += len(block)
+            if held > 4 << 20:
+                yield _table(rows, _PART)
+                rows, held = [], 0
+        yield _table(rows, _PART)
+
+    in_order = F.array_sort(F.collect_list(F.struct("segment", "block")))
     joined = (
-        records.filter("segment IS NOT NULL")
+        files.mapInArrow(parts, schemas[1])
         .groupBy("record_id")
         .agg(
             F.max(F.when(F.col("segment") == 1, F.col("record_type"))).alias("record_type"), F.max("url").alias("url"),
             F.max("refers_to").alias("refers_to"), F.max("digest").alias("digest"), F.max("total").alias("total"),
-            parts.alias("parts"),
+            in_order.alias("parts"),
         )
+        # A record without its first segment may be a page's, so it is an error.
+        .filter(F.col("record_type").isNull() | F.col("record_type").isin(*PAGES))
         .withColumn("gaps", F.col("parts.segment") != F.sequence(F.lit(1), F.size("parts")))
         .select(
             "record_id", "record_type", "url", "refers_to", "digest",
@@ -221,30 +278,15 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     )
 
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 64):
-            length, payload = [], []
+        for part in bounded(batches, 6, 4 << 20):
+            rows = []
             for r in part.to_pylist():
-                block = r["block"]
-                if r["total"] is not None and r["total"] != len(block):
-                    raise ValueError(f"{r['record_id']}: segments have {len(block)} bytes instead of {r['total']}")
-                head, _, body = block.partition(b"\r\n\r\n")
-                fields = dict(x.lower().split(b": ", 1) for x in head.split(b"\r\n")[1:])
-                if r["record_type"] == "revisit":
-                    length.append(int(fields[b"content-length"]))
-                    payload.append(None)
-                    continue
-                body = unchunked(body) if fields.get(b"transfer-encoding") == b"chunked" else body
-                if r["digest"] != base32_sha1(body):
-                    raise ValueError(f"{r['record_id']}: the payload isn't what its digest says")
-                length.append(len(body))
-                payload.append(body)
-            yield pa.RecordBatch.from_arrays(
-                [*part.columns[:5], pa.array(length, pa.int64()), pa.array(payload, pa.binary())],
-                names=["record_id", "record_type", "url", "refers_to", "digest", "length", "payload"],
-            )
-
-    out = "record_id string, record_type string, url string, refers_to string, digest string, length long, payload binary"
-    return whole.unionByName(joined).mapInArrow(decode, out)
+                head = [r[name] for name in _HEAD]
+                digest = r["digest"] and r["digest"].removeprefix("sha1:")
+                rows.append((*head[:4], digest, *_payload(r["record_id"], r["record_type"], r["digest"], r["total"], r["block"])))
+            yield _table(rows, _WHOLE)
+
+    return files.mapInArrow(whole, schemas[0]).unionByName(joined.mapInArrow(decode, schemas[0]))
 
 
 def archive(pages: DataFrame, least: int = 0, segment: int = SEGMENT) -> DataFrame:

@@ -1,5 +1,6 @@
 """Encoding, packing, chat, secrets, archives, quality and toxicity against plain versions."""
 
+import gzip
 import hashlib
 import random
 import re
@@ -266,6 +267,34 @@ def test_archive(spark):
     assert warc.archive(pages.limit(0)).count() == 0
 
 
+def test_archive_of_others(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\nServer:  x\r\ntransfer-encoding:chunked\r\n\r\n" + warc.chunked("é".encode() * 50, 7)
+    plain = [
+        warc.record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<i>")], b"software: x"),
+        warc.record([("WARC-Type", "request"), ("WARC-Record-ID", "<q>")], b"GET / HTTP/1.1\r\n\r\n"),
+        warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "<a>")], http).replace(b"WARC/1.1", b"WARC/1.0", 1),
+        warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "<b>")], b"no head"),
+        warc.record([("WARC-Type", "resource"), ("WARC-Record-ID", "<r>"), ("WARC-Segment-Number", "1")], b"one"),
+        warc.record([("WARC-Type", "continuation"), ("WARC-Record-ID", "<r2>"), ("WARC-Segment-Origin-ID", "<r>"), ("WARC-Segment-Number", "2"), ("WARC-Segment-Total-Length", "6")], b"two"),
+        warc.record([("WARC-Type", "revisit"), ("WARC-Record-ID", "<v>"), ("WARC-Refers-To", "<a>")], b""),
+    ]
+    (tmp_path / "plain.warc").write_bytes(b"".join(r + b"\r\n\r\n" for r in plain[:3]))
+    (tmp_path / "each.warc.gz").write_bytes(b"".join(gzip.compress(r + b"\r\n\r\n") for r in plain[3:]))
+    got = {r.record_id: (r.record_type, r.length, r.payload and bytes(r.payload), r.refers_to) for r in warc.read(spark, str(tmp_path)).collect()}
+    assert got == {"a": ("response", 100, "é".encode() * 50, None), "b": ("response", 7, b"no head", None), "v": ("revisit", None, None, "a")}
+    lost = warc.record([("WARC-Type", "continuation"), ("WARC-Record-ID", "<x2>"), ("WARC-Segment-Origin-ID", "<x>"), ("WARC-Segment-Number", "2")], b"two")
+    (tmp_path / "lost.warc").write_bytes(lost + b"\r\n\r\n")
+    with pytest.raises(Exception, match="segments have"):
+        warc.read(spark, str(tmp_path)).collect()
+
+
+def test_pages_are_segmented(spark):
+    """The query's segments are shorter than many pages, so reassembly is on its path."""
+    pages = table(spark, "pages")
+    long = pages.filter(f"octet_length(html) > {warc.SEGMENT}").count()
+    assert long >= 0.05 * pages.count()
+
+
 def test_broken_archive():
     block = b"HTTP/1.1 200 OK\r\n\r\n"
     good = warc.record([("WARC-Type", "response")], block) + b"\r\n\r\n"
