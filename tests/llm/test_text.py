@@ -162,16 +162,37 @@ def test_chat_odd_rows(spark):
     whole = {}
     for r in sorted(turns.collect(), key=lambda r: r.position):
         whole[r.conv_id] = whole.get(r.conv_id, "") + r.piece
+    context = {(r.conv_id, r.context_turns): r.context for r in chat.contexts(turns, examples).collect()}
+    assert len(context) == examples.count()
     for r in examples.collect():
-        assert r.context == whole[r.conv_id][: r.context_chars] and len(r.context) == r.context_chars
-        text = r.context + r.reply
+        before = context[r.conv_id, r.context_turns]
+        assert before == whole[r.conv_id][: r.context_chars] and len(before) == r.context_chars
+        text = before + r.reply
         assert whole[r.conv_id].startswith(text) and text[r.loss_start : r.loss_start + r.loss_chars] + "</s>" == text[r.loss_start :]
     assert {c: len(t) for c, t in whole.items()} == {c: r.formatted_chars for c, r in got.items()}
-    by_reference = chat.expand(turns, inline_chars=0)
-    assert by_reference.filter("context IS NOT NULL AND context_chars > 0").count() == 0
-    assert by_reference.count() == examples.count()
     empty = chat.format_turns(convs.limit(0))
     assert chat.digests(empty, chat.expand(empty)).count() == 0
+    assert chat.contexts(empty, chat.expand(empty)).count() == 0
+
+
+def test_contexts_of_long_conversations(spark):
+    """Above 1 MiB of characters, and over several blocks of turns, every context is whole."""
+    rng = random.Random(8)
+    rows = [(1, t, "assistant" if t % 2 else "user", "".join(rng.choices("ab<\\/s>[]é \n", k=40_000))) for t in range(60)]
+    rows += [(2, t, ("system", "user", "assistant")[t % 3], f"turn {t} </s>") for t in range(2_500)]
+    turns = chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    examples = chat.expand(turns).filter("conv_id = 1 OR example % 97 = 0")
+    escaped = re.compile(r"([<\[])(\\*)(s>|/s>|INST\]|/INST\])")
+    whole = {c: [f"<s>{r}\n{escaped.sub(lambda m: m[1] + chr(92) + m[2] + m[3], x)}</s>" for k, _, r, x in rows if k == c] for c in (1, 2)}
+    asked = {(r.conv_id, r.context_turns): r.context_chars for r in examples.collect()}
+    got = {(r.conv_id, r.context_turns): r.context for r in chat.contexts(turns, examples).collect()}
+    assert got.keys() == asked.keys() and sum(c == 1 for c, _ in got) == 30
+    for (c, n), context in got.items():
+        assert context == "".join(whole[c][:n]) and len(context) == asked[c, n]
+    for r in chat.digests(turns, chat.expand(turns)).collect():
+        own = [(role, x) for c, _, role, x in rows if c == r.conv_id]
+        assert (r.n_turns, r.turns_sha256) == (len(own), sha("".join(f"{role}\n{x}\n" for role, x in own)))
+        assert r.loss_sha256 == sha("".join(x for role, x in own if role == "assistant"))
 
 
 BASE = {
