@@ -7,7 +7,8 @@ from checks.views import load
 from gleamline.ml import models, network
 from gleamline.ml import nearest as N
 from gleamline.ml.features import FeatureSpace, encode_label, one_hot, scale_minmax, scale_standard
-from gleamline.ml.silhouette import silhouette, visits
+from gleamline.ml.silhouette import Boxes, silhouette, visits
+from gleamline.session import stage
 from gleamline.ml.split import split_exact
 from gleamline.operators import lookup as U
 from gleamline.plans.automl import PREDICTED, automl, infer_task, score_table
@@ -136,6 +137,32 @@ def test_silhouette_visits_few_pairs_and_misses_no_nearest_cluster(spark, offset
     assert sum(r["count"] for r in found) < 0.4 * 8 * len(rows)
 
 
+@pytest.mark.parametrize("width", [1, 2])
+def test_silhouette_of_boxes_equals_brute_force(spark, width):
+    rng = np.random.default_rng(6)
+    rows = [(rng.normal(size=width).tolist(), rng.integers(0, 2, 2).tolist(), int(rng.integers(0, 3))) for _ in range(700)]
+    rows += rows[:30] + [([0.5] * width, [0, 1], 2)] * 3 + [([9.0] * width, [0, 0], 7)]
+    df = spark.createDataFrame(rows, "num array<double>, slots array<int>, cluster int")
+    assert silhouette(df, leaf_rows=8) == pytest.approx(brute_silhouette(rows), abs=1e-10)
+
+
+def test_boxes_leave_few_pairs(spark):
+    places = np.random.default_rng(7).normal(size=(40_000, 2))
+    tree = Boxes(places[::20], 512)
+    leaf = tree.leaf(places)
+    tree.fit({x: (places[leaf == x].min(0), places[leaf == x].max(0)) for x in np.unique(leaf).tolist()}, 2)
+    held = np.bincount(leaf, minlength=len(tree.axis))
+    assert held.max() < 8 * 40_000 / 512 and held.sum() == 40_000
+    for cost in (0.0, 2.0):
+        far, near = tree.visits(cost)
+        assert sum(len(b) for b in far.values()) < 100 * 512
+        assert sum(held[a] * held[b].sum() for a, b in near.items()) < 0.1 * 40_000**2
+        leaves = np.flatnonzero(tree.axis < 0)
+        inside = lambda node: [node] if tree.axis[node] < 0 else [x for c in tree.child[node] for x in inside(c)]
+        for a in leaves[::100].tolist():  # every leaf is reached once
+            assert sorted(near[a] + [x for b in far[a] for x in inside(b)]) == leaves.tolist()
+
+
 def test_scalers_and_encoders(spark):
     df = spark.createDataFrame(
         [(1.0, 5.0, "b"), (None, 5.0, "a"), (3.0, 5.0, None), (8.0, 5.0, "b")], "x double, c double, t string"
