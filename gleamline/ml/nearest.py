@@ -22,7 +22,10 @@ NEIGHBOURS = 5
 BROADCAST_CELLS = 4_000_000
 # Rows of either side that meet in one task.
 BLOCK_ROWS = 4096
-MAX_PIVOTS = 256
+# Cells hold about ``BLOCK_ROWS`` rows up to this many pivots.
+MAX_PIVOTS = 4096
+# Numbers of one intermediate matrix in a task.
+MATRIX = 500_000
 
 RESULT = "query_id bigint, train_id bigint, squared double"
 
@@ -44,8 +47,11 @@ def _kernel():
             d += (qs[:, c][:, None] != ts[:, c][None, :]) * cost
         return d
 
-    def nearest(qid, qn, qs, tid, tn, ts, k):
-        """The k nearest of each query as a frame, smallest id first among equals."""
+    def nearest(qid, qn, qs, tid, tn, ts, k, limit=None):
+        """The k nearest of each query as a frame, smallest id first among equals.
+
+        Rows beyond ``limit``, a squared distance per query, are left out where that saves ranking them.
+        """
         out_q, out_t, out_d = [], [], []
         k = min(k, len(tid))
         if k == 0 or len(qid) == 0:
@@ -53,13 +59,17 @@ def _kernel():
                 {"query_id": "int64", "train_id": "int64", "squared": "float64"}
             )
         scale = 1.0 + float((tn**2).sum(1).max(initial=0.0))
-        step = max(1, 2_000_000 // len(tid))
+        step = max(1, MATRIX // len(tid))
         for at in range(0, len(qid), step):
             rows = slice(at, at + step)
             rough = squared(qn[rows], qs[rows], tn, ts)
             bound = np.partition(rough, k - 1, axis=1)[:, k - 1]
             slack = 1e-9 * (scale + (qn[rows] ** 2).sum(1))
-            for i in range(rough.shape[0]):
+            asking = range(rough.shape[0])
+            if limit is not None:
+                asking = np.flatnonzero(rough.min(axis=1) <= limit[rows] + slack)
+                bound = np.minimum(bound, limit[rows])
+            for i in asking:
                 # The rough form loses digits; rank the contenders by the plain one.
                 near = np.flatnonzero(rough[i] <= bound[i] + slack[i])
                 exact = ((tn[near] - qn[at + i]) ** 2).sum(1)
@@ -69,6 +79,8 @@ def _kernel():
                 out_q.append(np.full(len(best), qid[at + i]))
                 out_t.append(tid[near][best])
                 out_d.append(exact[best])
+        if not out_q:
+            return nearest(qid[:0], qn[:0], qs[:0], tid, tn, ts, k)
         return pd.DataFrame(
             {
                 "query_id": np.concatenate(out_q),
@@ -92,8 +104,8 @@ def knn_join(
 
     Both inputs have ``id``, ``num`` and ``slots``.  Equal distances are ranked
     by training id.  A small training side is broadcast; a large one is cut
-    into cells around pivots, and a query visits only the cells that can hold
-    one of its neighbours.
+    into cells around pivots; a query visits the nearest one, and then the cells
+    that can hold a row nearer than the ``k``-th found there.
     """
     widths = _widths(train)
     if widths is None:
@@ -147,65 +159,52 @@ def _cell_join(queries, train, k, widths):
     pn, ps = stacked(chosen["num"], wn, np.float64), stacked(chosen["slots"], ws, np.int64)
 
     def assign(batches):
+        step = max(1, MATRIX // len(pn))
         for t in batches:
-            d = squared(
-                stacked(t["num"], wn, np.float64), stacked(t["slots"], ws, np.int64), pn, ps
-            )
-            cell = d.argmin(1)
-            yield t.assign(
-                cell=cell.astype("int32"), reach=np.sqrt(d[np.arange(len(t)), cell])
-            )
+            tn, ts = stacked(t["num"], wn, np.float64), stacked(t["slots"], ws, np.int64)
+            cell, reach = np.zeros(len(t), np.int32), np.zeros(len(t))
+            for i in range(0, len(t), step):
+                d = squared(tn[i : i + step], ts[i : i + step], pn, ps)
+                cell[i : i + step], reach[i : i + step] = d.argmin(1), np.sqrt(d.min(1))
+            yield t.assign(cell=cell, reach=reach)
 
     vectors = "id bigint, num array<double>, slots array<int>"
     train = stage(train.mapInPandas(assign, f"{vectors}, cell int, reach double"))
     sizes = {
         r["cell"]: (r["n"], r["reach"])
-        for r in train.groupBy("cell").agg(F.count("id").alias("n"), F.max("reach").alias("reach")).collect()
+        for r in train.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("reach")).collect()
     }
-    innermost = Window.partitionBy("cell").orderBy("reach", "id")
-    inner = (
-        train.withColumn("r", F.row_number().over(innermost)).where(F.col("r") <= k)
-        .select("cell", "reach").collect()
-    )  # at most k rows per pivot
     used = np.array(sorted(sizes))
     radius = np.array([sizes[c][1] for c in used])
-    inner_cell = np.searchsorted(used, np.array([r["cell"] for r in inner]))
-    inner_reach = np.array([r["reach"] for r in inner])
+    un, us = pn[used], ps[used]
+
+    def homes(batches):
+        """Each query with its nearest cell."""
+        step = max(1, MATRIX // len(used))
+        for q in batches:
+            qn, qs = stacked(q["num"], wn, np.float64), stacked(q["slots"], ws, np.int64)
+            home = [squared(qn[i : i + step], qs[i : i + step], un, us).argmin(1) for i in range(0, len(q), step)]
+            yield q.assign(cells=[used[[c]] for h in home for c in h], bound=np.inf)
 
     def visits(batches):
-        """Each query once per cell that may hold one of its k nearest."""
+        """Each query with the other cells that may hold one of its k nearest."""
+        step = max(1, MATRIX // len(used))
         for q in batches:
             qn, qs = stacked(q["num"], wn, np.float64), stacked(q["slots"], ws, np.int64)
-            d = np.sqrt(squared(qn, qs, pn, ps))[:, used]
-            # k training rows lie within this distance by the triangle inequality.
-            upper = d[:, inner_cell] + inner_reach[None, :]
-            if upper.shape[1] > k:
-                limit = np.partition(upper, k - 1, axis=1)[:, k - 1]
-            else:
-                limit = np.full(len(q), np.inf)
-            reachable = d - radius[None, :] <= (limit + 1e-6 * (1 + d.max(1)))[:, None]
-            row, at = np.nonzero(reachable)
-            yield q.iloc[row].assign(cell=used[at].astype("int32"))
-
-    asked = stage(queries.mapInPandas(visits, f"{vectors}, cell int"))
-    # A cell holding many rows of either side is cut into blocks of bounded size.
-    asked_sizes = {r["cell"]: r["n"] for r in asked.groupBy("cell").agg(F.count("id").alias("n")).collect()}
-    cuts = [
-        (int(c), math.ceil(sizes[c][0] / BLOCK_ROWS), math.ceil(n / BLOCK_ROWS))
-        for c, n in asked_sizes.items()
-    ]
-    spark = queries.sparkSession
-    cuts = F.broadcast(spark.createDataFrame(cuts, "cell int, t_blocks int, q_blocks int"))
-    own = F.pmod(F.xxhash64("id"), F.col("t_blocks")).cast("int")
-    right = train.join(cuts, "cell").select(
-        "id", "num", "slots", "cell", own.alias("t"),
-        F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("q"),
-    )
-    own = F.pmod(F.xxhash64("id"), F.col("q_blocks")).cast("int")
-    left = asked.join(cuts, "cell").select(
-        "id", "num", "slots", "cell", own.alias("q"),
-        F.explode(F.sequence(F.lit(0), F.col("t_blocks") - 1)).alias("t"),
-    )
+            bound, cells = q["bound"].fillna(np.inf).to_numpy(float), []
+            for i in range(0, len(q), step):
+                squares = squared(qn[i : i + step], qs[i : i + step], un, us)
+                home, rows = squares.argmin(1), np.arange(len(squares))
+                d = np.sqrt(squares)
+                limit = np.sqrt(bound[i : i + step]) + 1e-6 * (1 + d.max(1))
+                # A cell's rows are within its radius, and beyond the plane halfway from the home cell's pivot.
+                apart = 2.0 * np.sqrt(squared(un[home], us[home], un, us))
+                ahead = squares - squares[rows, home][:, None] - 1e-9 * (1 + squares.max(1))[:, None]
+                plane = np.divide(ahead, apart, out=np.zeros_like(d), where=apart > 1e-6)
+                near = np.maximum(d - radius[None, :], plane) <= limit[:, None]
+                near[rows, home] = False
+                cells += [used[r] for r in near]
+            yield q.assign(cells=cells, bound=bound)
 
     def search(q, t):
         return nearest(
@@ -216,10 +215,41 @@ def _cell_join(queries, train, k, widths):
             stacked(t["num"], wn, np.float64),
             stacked(t["slots"], ws, np.int64),
             k,
+            q["bound"].to_numpy(float),
         )
 
-    blocks = ["cell", "q", "t"]
-    return left.groupBy(*blocks).cogroup(right.groupBy(*blocks)).applyInPandas(search, RESULT)
+    def pairs_of(asked):
+        """The nearest rows in the cells asked; a cell with many rows of either side is cut into blocks of bounded size."""
+        single = asked.select("id", "num", "slots", "bound", F.explode("cells").alias("cell"))
+        asked_sizes = {r["cell"]: r["n"] for r in single.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+        cuts = [
+            (int(c), math.ceil(sizes[c][0] / BLOCK_ROWS), math.ceil(n / BLOCK_ROWS))
+            for c, n in asked_sizes.items()
+        ]
+        cuts = F.broadcast(queries.sparkSession.createDataFrame(cuts, "cell int, t_blocks int, q_blocks int"))
+        own = F.pmod(F.xxhash64("id"), F.col("t_blocks")).cast("int")
+        right = train.join(cuts, "cell").select(
+            "id", "num", "slots", "cell", own.alias("t"),
+            F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("q"),
+        )
+        own = F.pmod(F.xxhash64("id"), F.col("q_blocks")).cast("int")
+        left = single.join(cuts, "cell").select(
+            "id", "num", "slots", "bound", "cell", own.alias("q"),
+            F.explode(F.sequence(F.lit(0), F.col("t_blocks") - 1)).alias("t"),
+        )
+        blocks = ["cell", "q", "t"]
+        return left.groupBy(*blocks).cogroup(right.groupBy(*blocks)).applyInPandas(search, RESULT)
+
+    # The home cell's rows bound the distance of the k-th nearest one; only cells within it are visited.
+    asked = f"{vectors}, cells array<int>, bound double"
+    first = stage(pairs_of(stage(queries.mapInPandas(homes, asked))))
+    bounds = (
+        first.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("squared")))
+        .where(F.col("r") == k)
+        .select(F.col("query_id").alias("asker"), F.col("squared").alias("bound"))
+    )
+    bounded = queries.join(bounds, F.col("id") == F.col("asker"), "left").drop("asker")
+    return first.unionByName(pairs_of(stage(bounded.mapInPandas(visits, asked))))
 
 
 def knn_predict(

@@ -93,6 +93,26 @@ def test_nearest_join_with_few_training_rows(spark):
     assert N.knn_join(q, t.limit(0)).count() == 0
 
 
+def test_queries_visit_few_cells_and_are_written_once(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    queries = [(i, rng.normal(size=2).tolist(), [int(rng.integers(-1, 3))]) for i in range(200)]
+    train = [(i, rng.normal(size=2).round(1).tolist(), [int(rng.integers(0, 3))]) for i in range(1500)]
+    written = []
+    monkeypatch.setattr(N, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(N, "MATRIX", 500)
+    monkeypatch.setattr(N, "stage", lambda df: (written.append(stage(df)), written[-1])[1])
+    q, t = spark.createDataFrame(queries, POINTS), spark.createDataFrame(train, POINTS)
+    got = {}
+    for r in sorted(N.knn_join(q, t, broadcast_cells=0).collect()):
+        got.setdefault(r["query_id"], []).append(r["train_id"])
+    assert got == brute(queries, train, 5)
+    asked = [df for df in written if "cells" in df.columns]
+    assert [df.count() for df in asked] == [200, 200]
+    cells = len({r["cell"] for df in written if "reach" in df.columns for r in df.collect()})
+    visited = sum(len(r["cells"]) for df in asked for r in df.collect())
+    assert cells > 40 and 200 <= visited < 0.4 * 200 * cells
+
+
 def brute_silhouette(rows, squared=False):
     scores = []
     for i, (a, sa, ca) in enumerate(rows):
