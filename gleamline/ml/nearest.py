@@ -20,6 +20,8 @@ from gleamline.session import stage
 NEIGHBOURS = 5
 # Cells of the training side that may be sent whole to every task.
 BROADCAST_CELLS = 4_000_000
+# Pairs of rows up to which all are compared; beyond, cells rule most out.
+BROADCAST_PAIRS = 400_000_000
 # Rows of either side that meet in one task.
 BLOCK_ROWS = 4096
 # Cells hold about ``BLOCK_ROWS`` rows up to this many pivots.
@@ -103,7 +105,7 @@ def knn_join(
     """``(query_id, rank, train_id, distance)``: the ``k`` nearest training rows of each query.
 
     Both inputs have ``id``, ``num`` and ``slots``.  Equal distances are ranked
-    by training id.  A small training side is broadcast; a large one is cut
+    by training id.  A small training side is broadcast; a large one, or one with many queries, is cut
     into cells around pivots; a query visits the nearest one, and then the cells
     that can hold a row nearer than the ``k``-th found there.
     """
@@ -111,9 +113,10 @@ def knn_join(
     if widths is None:
         empty = "query_id bigint, rank int, train_id bigint, distance double"
         return queries.sparkSession.createDataFrame([], empty)
-    cells = train.count() * (sum(widths) + 1)
+    rows = train.count()
+    cells = rows * (sum(widths) + 1)
     queries, train = queries.select("id", "num", "slots"), train.select("id", "num", "slots")
-    if cells <= broadcast_cells:
+    if cells <= broadcast_cells and rows * queries.count() <= BROADCAST_PAIRS:
         pairs = _broadcast_join(queries, train, k, widths)
     else:
         pairs = _cell_join(queries, train, k, widths)

@@ -16,7 +16,7 @@ from gleamline.ml.silhouette import silhouette
 from gleamline.ml.split import split_exact
 from gleamline.operators.lookup import is_small, lookup
 from gleamline.plans import leaderboard as board
-from gleamline.session import stage
+from gleamline.session import spread, stage
 from gleamline.types import MlConfig, col, columns_of, conform
 
 NO_TARGET = "NONE"
@@ -169,9 +169,15 @@ def automl(
     if task != "Clustering":
         carried.append(F.col("label").cast("double").alias("label"))
     train = stage(space.transform(train).select(*carried))
-    test = train if task == "Clustering" else stage(space.transform(test).select(*carried))
+    rows = train.count()
+    train = spread(train, rows, "id")
+    if task == "Clustering":
+        test = train
+    else:
+        test = stage(space.transform(test).select(*carried))
+        test = spread(test, test.count(), "id")
     classes = labels.count() if labels is not None else 0
-    training = models.Training(train, space, train.count(), classes, config.seed)
+    training = models.Training(train, space, rows, classes, config.seed)
 
     scored, fitted, skipped = [], {}, {}
     for seq, (name, fit) in enumerate(candidates.items(), start=1):

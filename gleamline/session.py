@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -45,6 +46,15 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, rows: int, key: str, rows_per_task: int = 2000) -> DataFrame:
+    """``df``, a staged table of ``rows`` rows, for work that costs far more than reading it.
+
+    A table of a few megabytes is one file and one task, however long that takes: it is written again in more files.
+    """
+    tasks = min(math.ceil(rows / rows_per_task), 4 * df.sparkSession.sparkContext.defaultParallelism)
+    return stage(df.repartition(tasks, key)) if tasks > df.rdd.getNumPartitions() else df
+
+
 @contextmanager
 def scratch(df: DataFrame) -> Iterator[DataFrame]:
     """``df`` staged for a block and deleted after it.
