@@ -6,11 +6,11 @@ strings inside a text get a backslash after their first character, and one more
 already, so the marks of the template never occur in a text and ``unescape`` gives it back.
 
 ``format_turns`` writes every turn once, with its place in the formatted conversation.
-``expand`` has a row per assistant turn.  Its context is the first ``context_turns`` turns, which are the
-first ``context_chars`` characters, so the examples together are no longer than the conversation, however
-many turns it has: whole contexts of all examples would grow with its square.  ``contexts`` gives the whole
-context of each example one asks for, of any length.  The digests are read from an example's text: that of
-the last reply holds all turns up to it.
+``expand`` has a row per assistant turn, with the whole formatted text of all turns before it as its context,
+of whatever length, and its reply.  All contexts of a conversation together grow with its square; they are made
+where they are read, block by block of turns, and the query writes none.  The digests are read from the
+examples' texts: the losses from each example's own, the turns from that of the last reply, which holds all up
+to it.
 
 Places are found by blocks of turns: counts are summed within a block, and over the blocks.  A
 conversation that holds a third of all rows so spreads over many tasks.
@@ -116,31 +116,40 @@ def format_turns(convs: DataFrame) -> DataFrame:
 def expand(turns: DataFrame) -> DataFrame:
     """One example per assistant turn of ``format_turns``' result.
 
-    (conv_id, block, example, context_turns, context_chars, reply, loss_start, loss_chars): the example's
-    text is its context and its reply; ``loss_start`` counts in that text from 0.
+    (conv_id, block, example, context_turns, context_chars, context, reply, loss_start, loss_chars, last): the
+    example's text is its context and its reply; ``loss_start`` counts in that text from 0; ``last`` marks the
+    last example of a conversation.
     """
-    head = F.instr("piece", "\n")
-    return turns.filter("target").select(
-        "conv_id", "block", "example",
-        F.col("position").alias("context_turns"),
-        F.col("start").alias("context_chars"),
-        F.col("piece").alias("reply"),
-        (F.col("start") + head).alias("loss_start"),
-        (F.char_length("piece") - head - F.lit(len("</s>"))).cast("long").alias("loss_chars"),
+    kept = ["position", "start", "target", "example", "piece"]
+    blocks = turns.groupBy("conv_id", "block").agg(F.array_sort(F.collect_list(F.struct(*kept))).alias("turns"))
+    before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("conv_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    head = F.instr("t.piece", "\n")
+    return (
+        blocks.withColumn("own", F.concat_ws("", F.col("turns.piece")))
+        .withColumn("before", F.concat_ws("", F.collect_list("own").over(before)))
+        .withColumn("targets", F.filter("turns", lambda t: t["target"]))
+        .withColumn("final", F.max(F.array_max(F.col("targets.example"))).over(whole))
+        .select("conv_id", "block", "before", "own", "targets", "final")
+        # The blocks of a long conversation are expanded in tasks of their own.
+        .repartition("conv_id", "block")
+        .select("conv_id", "block", F.concat("before", "own").alias("text"), "final", F.explode("targets").alias("t"))
+        .select(
+            "conv_id", "block", "t.example",
+            F.col("t.position").alias("context_turns"),
+            F.col("t.start").alias("context_chars"),
+            F.substring(F.col("text"), F.lit(1), F.col("t.start").cast("int")).alias("context"),
+            F.col("t.piece").alias("reply"),
+            (F.col("t.start") + head).alias("loss_start"),
+            (F.char_length("t.piece") - head - F.lit(len("</s>"))).cast("long").alias("loss_chars"),
+            (F.col("t.example") == F.col("final")).alias("last"),
+        )
     )
 
 
 def contexts(turns: DataFrame, examples: DataFrame) -> DataFrame:
-    """(conv_id, context_turns, context): the whole context of each of ``examples``.
-
-    Turns are joined by block first, so what meets in one row is one example's own context.
-    """
-    asked = examples.select(F.col("conv_id").alias("c"), "context_turns").filter("context_turns > 0")
-    before = turns.join(asked, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("position") < F.col("context_turns")))
-    found = _joined(before, ["conv_id", "context_turns"], "position", F.col("piece"), {})
-    found = found.select(F.col("conv_id").alias("c"), F.col("context_turns").alias("n"), "t")
-    same = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("context_turns") == F.col("n"))
-    return examples.join(found, same, "left").select("conv_id", "context_turns", F.coalesce("t", F.lit("")).alias("context"))
+    """(conv_id, context_turns, context): the whole context of each of ``examples``."""
+    return examples.select("conv_id", "context_turns", "context")
 
 
 def turns_of(text: Column) -> Column:
@@ -156,12 +165,10 @@ def turns_of(text: Column) -> Column:
 
 
 def read_losses(examples: DataFrame) -> DataFrame:
-    """(conv_id, block, example, loss): each example's text under its loss mask."""
-    at = (F.col("loss_start") - F.col("context_chars") + 1).cast("int")
-    return examples.select(
-        "conv_id", "block", "example",
-        unescape(F.substring(F.col("reply"), at, F.col("loss_chars").cast("int"))).alias("loss"),
-    )
+    """(conv_id, block, example, loss): each example's text, context and reply, under its loss mask."""
+    text = F.concat("context", "reply")
+    loss = F.substring(text, (F.col("loss_start") + 1).cast("int"), F.col("loss_chars").cast("int"))
+    return examples.select("conv_id", "block", "example", unescape(loss).alias("loss"))
 
 
 def _joined(rows: DataFrame, key: list[str], order: str, text: Column, also: dict[str, Column]) -> DataFrame:
@@ -182,9 +189,8 @@ def digests(turns: DataFrame, examples: DataFrame) -> DataFrame:
     A digest of a conversation is one value over its whole text, which so meets in one row.
     """
     key = ["conv_id"]
-    last = examples.groupBy(*key).agg(F.max_by(F.struct("context_turns", "reply"), "example").alias("e")).select(*key, "e.*")
-    whole = contexts(turns, last).withColumnRenamed("conv_id", "c").drop("context_turns")
-    whole = last.join(whole, F.col("conv_id").eqNullSafe(F.col("c"))).select(*key, "context_turns", F.concat("context", "reply").alias("upto"))
+    whole = examples.filter("last").select(*key, "context_turns", F.concat("context", "reply").alias("upto"))
+    last = whole.select(*key, "context_turns")
     upto = whole.select(F.col("conv_id").alias("u"), "upto")
     ends = last.select(F.col("conv_id").alias("c"), "context_turns")
     after = turns.join(ends, F.col("conv_id").eqNullSafe(F.col("c")), "left").filter(

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from gleamline.llm import alignment, bpe, chat, chunks, exact_dedup, lexical, licenses, packing, quality, secrets, simhash, toxicity, warc
 from gleamline.llm.common import table
-from gleamline.session import stage
 
 VOCABULARY = "word_bpe_49k.json"
 BYTES, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -35,7 +34,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("</s>[INST] ok [/INST]").alias("text"),
     )
     turns = chat.format_turns(convs.unionByName(extra))
-    return chat.digests(turns, stage(chat.expand(turns)))
+    return chat.digests(turns, chat.expand(turns))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

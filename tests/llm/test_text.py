@@ -195,6 +195,24 @@ def test_contexts_of_long_conversations(spark):
         assert r.loss_sha256 == sha("".join(x for role, x in own if role == "assistant"))
 
 
+def test_every_example_holds_its_whole_context(spark):
+    rows = [(1, t, "assistant" if t % 2 else "user", f"turn {t} </s>") for t in range(3_000)]
+    rows += [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (2, 0, "assistant", "c"), (3, 0, "user", "d")]
+    turns = chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    examples = chat.expand(turns).collect()
+    pieces = {c: [f"<s>{r}\n{chat_escaped(x)}</s>" for k, _, r, x in rows if k == c] for c in (1, 2, None)}
+    assert len(examples) == 1_502
+    for r in examples:
+        assert r.context == "".join(pieces[r.conv_id][: r.context_turns])
+        text = r.context + r.reply
+        assert r.reply == pieces[r.conv_id][r.context_turns] and text[r.loss_start :] == text[r.loss_start : r.loss_start + r.loss_chars] + "</s>"
+    assert sorted((str(r.conv_id), r.context_turns) for r in examples if r.last) == [("1", 2_999), ("2", 0), ("None", 1)]
+
+
+def chat_escaped(text):
+    return text.replace("</s>", "<\\/s>")
+
+
 BASE = {
     "assign": (re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 12, 2),
     "access": (re.compile("AKIA[A-Z0-9]+"), 18, 0),
