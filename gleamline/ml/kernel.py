@@ -152,7 +152,7 @@ def fit(
 
     block = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
     # Rows are few bytes before they are lifted: without a number of its own the shuffle would end in one task.
-    dealt = df.select("num", "slots", "label", block.alias("block")).repartition(4 * parts, "block")
+    dealt = df.select("num", "slots", "label", block.alias("block")).repartition(16 * parts, "block")
     packed = dealt.groupBy("block").applyInPandas(pack, BLOCKS)
     weights, reached, done = np.zeros((width, columns)), math.inf, 0
     live = ExitStack()
