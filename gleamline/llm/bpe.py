@@ -4,7 +4,9 @@ The words of a partition's batch that are new to the task are laid out in one ar
 maps the rank of each mergeable pair to all positions where it stands; ranks are applied in
 ascending order, each to all its positions at once, and the positions whose neighbours changed are
 entered again under their new ranks.  A word's tokens are kept for the task's later documents, in a
-table of bounded size; what that table holds never changes a result.
+table of bounded size; what that table holds never changes a result.  Words of ASCII and the letters up
+to U+00FF are found in the bytes of a whole batch at once, so that a word is one entry, whatever signs
+are next to it; others by the word pattern.
 
 The vocabulary file is that of the tokenizers library: NFC, white space and case folding, splitting
 into words, special tokens, bytes as symbols, merges and word ends are as the file says.  ``encode``
@@ -40,9 +42,18 @@ WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^%s\p{L}\p{N}]+"
 _WORD = regex.compile(WORD % "".join(map(chr, SPACES)))
 
 
-_BLANK = np.arange(256, dtype=np.uint8)
-_BLANK[9:14] = 32
-_LOWER = _BLANK.copy()
+# What a byte is to the word pattern; a word with bytes beyond these is split by the pattern itself.
+_OTHER, _LETTER, _DIGIT, _SPACE = range(4)
+_KIND = np.zeros(256, np.uint8)
+_KIND[48:58] = _DIGIT
+_KIND[65:91] = _KIND[97:123] = _LETTER
+_KIND[0x80:0xC0] = _KIND[0xC3] = _LETTER  # the letters from U+00C0 to U+00FF, and two signs
+_KIND[9:14] = _KIND[32] = _SPACE
+_ODD = np.zeros(256, bool)
+_ODD[39] = True
+_ODD[0xC0:] = True
+_ODD[0xC3] = False
+_LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
@@ -184,63 +195,110 @@ def _apart(at: np.ndarray, after: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64)
 
 
+def split(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of texts, which begin and end ``at``, without white space; where their words begin; ``at`` among these bytes.
+
+    Words are in lower case and what the word pattern finds.  A chunk between white space that needs more than
+    ASCII and the letters up to U+00FF, or has an apostrophe or ``<|``, is left whole.
+    """
+    space = _KIND[raw] == _SPACE
+    opens = np.append(True, space)
+    opens[at] = True
+    begins = opens[:-1][~space]
+    at = at - np.searchsorted(np.flatnonzero(space), at)
+    raw = raw[~space]
+    plain, kind = _LOWER[raw], _KIND[raw]
+    words = np.ones(len(raw), bool)
+    words[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    accent = np.flatnonzero(raw[:-1] == 0xC3)
+    after = raw[accent + 1]
+    upper = accent[(after >= 0x80) & (after < 0x9F) & (after != 0x97)] + 1
+    plain[upper] += 32
+    signs = accent[(after == 0x97) | (after == 0xB7)]
+    bars = np.flatnonzero((raw[:-1] == 60) & (raw[1:] == 124))
+    bars = bars[~begins[bars + 1]]
+    odd = np.concatenate([np.flatnonzero(_ODD[raw]), signs, bars])
+    if len(odd):
+        chunks = np.append(np.flatnonzero(begins), len(raw))
+        whole = np.zeros(len(raw) + 1, np.int8)
+        mine = np.unique(np.searchsorted(chunks, odd, "right"))
+        whole[chunks[mine - 1]] = 1
+        whole[chunks[mine]] -= 1
+        whole = np.cumsum(whole[:-1], dtype=np.int8).view(bool)
+        words &= ~whole
+        # Folding case there would make special tokens, and comes after composing.
+        plain[upper[whole[upper]]] -= 32
+        special = np.unique(np.searchsorted(chunks, bars, "right"))
+        for lo, hi in zip(chunks[special - 1].tolist(), chunks[special].tolist()):
+            plain[lo:hi] = raw[lo:hi]
+    return plain, np.flatnonzero(words | begins), at
+
+
 class Encoder:
     """Encodes documents; keeps the tokens of words and chunks, twice ``keep`` and one batch's at most.
 
     ``form`` makes of the ids of many words, given in one array with each word's begin and end, what is
-    kept of each word; a document is these joined.  A chunk is what stands between ASCII white space; a
-    word is a chunk, too, so one table holds both.
+    kept of each word; a document is these joined.  A chunk that ``split`` leaves whole is kept like a word:
+    it holds what no word of ``split`` does, or is the word itself.
     """
 
     def __init__(self, vocabulary: Vocabulary, form: Callable, keep: int):
         self.vocabulary, self.form, self.keep = vocabulary, form, keep
-        self.known: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def encode(self, texts: pa.Array) -> tuple[memoryview, list[int]]:
         """All documents joined, and where each begins and the last ends."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         _, offsets, data = texts.buffers()
         at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
-        raw = np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]]
-        at = at - at[0]
-        # Folding case makes fewer chunks, but would make special tokens.
-        plain = _LOWER[raw]
-        for i in np.flatnonzero(np.asarray(pc.match_substring(texts, "<|"))):
-            plain[at[i] : at[i + 1]] = _BLANK[raw[at[i] : at[i + 1]]]
-        ends_chunk = plain == 32
-        ends_chunk[at[at > 0] - 1] = True
-        cuts = np.concatenate([[0], np.flatnonzero(ends_chunk) + 1])
-        coded = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(plain)).dictionary_encode()
-        if len(self.known) > self.keep:
-            self.known, self.older = {"": b""}, self.known
-        seen = [c.rstrip(" ") for c in coded.dictionary.to_pylist()]
-        known, older = self.known, self.older
-        new = {c for c in seen if c not in known}
-        if older:
-            known.update([(c, older[c]) for c in new if c in older])
-            new = {c for c in new if c not in known}
-        if new:
-            self._learn(list(new))
-        values = pa.array([known[c] for c in seen], pa.large_binary()).take(coded.indices)
+        plain, begins, at = split(np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]], at - at[0])
+        cuts = np.append(begins, len(plain))
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(cuts), pa.py_buffer(plain)]).dictionary_encode()
+        values = pa.array(self._values(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
         _, offsets, data = values.buffers()
         ends = np.frombuffer(offsets, np.int64) if len(values) else np.zeros(1, np.int64)
         return memoryview(data or b""), ends[np.searchsorted(cuts, at)].tolist()
 
-    def _learn(self, new: list[str]) -> None:
-        known, words = self.known, self.vocabulary.words
-        parts = list(map(words, new))
-        fresh = {w for p in parts for w in p if w not in known}
-        special = [w for w in fresh if isinstance(w, int)]
-        fresh.difference_update(special)
-        fresh = list(fresh)
+    def _values(self, words: list[bytes]) -> list[bytes]:
+        if len(self.known) > self.keep:
+            self.known, self.older = {}, self.known
+        values = list(map(self.known.get, words))
+        new = []
+        for i in [i for i, value in enumerate(values) if value is None]:
+            word = words[i]
+            value = self.older.get(word)
+            if value is None:
+                new.append(i)
+            else:
+                values[i] = self.known[word] = value
+        if new:
+            self._learn([words[i] for i in new])
+            for i in new:
+                values[i] = self.known[words[i]]
+        return values
+
+    def _learn(self, new: list[bytes]) -> None:
+        known, form = self.known, self.form
+        fresh, parts = [], {}
+        for c in new:
+            if c.isalpha():
+                fresh.append(c)
+            else:
+                p = [w if isinstance(w, int) else w.encode() for w in self.vocabulary.words(c.decode())]
+                if p == [c]:
+                    fresh.append(c)
+                else:
+                    parts[c] = p
+        more = {w for p in parts.values() for w in p}.difference(fresh)
+        special = [w for w in more if isinstance(w, int)]
+        fresh += [w for w in more if not isinstance(w, int) and w not in known]
         if fresh:
-            ids, (lo, hi) = self.vocabulary.merge([w.encode() for w in fresh])
-            known.update(zip(fresh, self.form(ids, lo.tolist(), hi.tolist())))
-        alone = dict(zip(special, self.form(np.array(special), range(len(special)), range(1, len(special) + 1))))
-        for c, p in zip(new, parts):
-            if len(p) != 1 or p[0] != c:
-                known[c] = b"".join([alone[w] if isinstance(w, int) else known[w] for w in p])
+            ids, (lo, hi) = self.vocabulary.merge(fresh)
+            known.update(zip(fresh, form(ids, lo.tolist(), hi.tolist())))
+        alone = dict(zip(special, form(np.array(special), range(len(special)), range(1, len(special) + 1))))
+        for c, p in parts.items():
+            known[c] = b"".join([alone[w] if isinstance(w, int) else known[w] for w in p])
 
 
 def packed(ids: np.ndarray, lo: Iterable[int], hi: Iterable[int]) -> list[bytes]:

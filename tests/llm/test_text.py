@@ -44,6 +44,25 @@ def test_encode_equals_library(library):
             assert np.frombuffer(joined[a:b], "<u4").tolist() == library.encode(t or "", add_special_tokens=False).ids
 
 
+def test_words_are_split_before_they_are_kept():
+    vocabulary_ = bpe.Vocabulary(vocabulary())
+    rng = random.Random(2)
+    parts = [*"abZÀßÿñ×÷09.,_-\x00\x1c  \n\t", "word", "éa"]
+    for _ in range(300):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(4)]
+        raw = [t.encode() for t in texts]
+        at = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+        plain, begins, at = bpe.split(np.frombuffer(b"".join(raw), np.uint8), at)
+        found = [bytes(plain[a:b]).decode() for a, b in zip(begins, [*begins[1:], len(plain)])]
+        # Chunks with a sign above U+007F stay whole.
+        want = [[w for c in re.split(r"[ \t-\r]+", t) if c for w in ([c] if set(c) & set("×÷") else vocabulary_.words(c))] for t in texts]
+        assert [w.lower() for w in found] == [w.lower() for t in want for w in t]
+        assert np.searchsorted(begins, at).tolist() == [0, *np.cumsum([len(t) for t in want])]
+    enc = bpe.Encoder(vocabulary_, bpe.packed, 500)
+    enc.encode(pa.array(["Fox fox, fox. FOX! (fox) fox1", "été Été, été."]))
+    assert sum("fox" in w.decode() for w in enc.known) == 1 and sum("é" in w.decode() for w in enc.known) == 1
+
+
 def test_round_trip_equals_library(spark, odd, odd_rows, library, none):
     docs = table(spark, "documents").select("doc_id", "text")
     got = {r.doc_id: r for r in QUERIES["op7_bpe"](spark, SF_DIR).collect()}
