@@ -10,6 +10,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting for deleting a query's shuffle files when the query ends, not when the driver's memory is next collected.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _roots: dict[str, str] = {}
 
 
@@ -33,16 +36,31 @@ def staging_root(spark: SparkSession) -> str:
     return _roots[app]
 
 
+@contextmanager
+def _written(spark: SparkSession) -> Iterator[None]:
+    """A block whose writes leave no shuffle files: what is written is read back, and never computed again."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` once and read it back.
 
     Used where several jobs read the same shuffled result.  A written table
     cuts the lineage, survives lost executors, and lets each later job read
-    only the columns it needs.
+    only the columns it needs.  Its shuffle files go as soon as it is written.
     """
     spark = df.sparkSession
     path = f"{staging_root(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _written(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -64,7 +82,8 @@ def scratch(df: DataFrame) -> Iterator[DataFrame]:
     spark = df.sparkSession
     location = f"{staging_root(spark)}/{uuid.uuid4().hex}"
     try:
-        df.write.option("compression", "zstd").parquet(location)
+        with _written(spark):
+            df.write.option("compression", "zstd").parquet(location)
         yield spark.read.schema(df.schema).parquet(location)
     finally:
         path, fs = _filesystem(spark, location)
