@@ -34,6 +34,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -91,19 +92,21 @@ def boundaries(raw: np.ndarray, span: int = SPAN) -> np.ndarray:
     padded = np.append(raw, np.zeros(4, np.uint8))
     for _ in range(3):  # no chunk ends within a character
         ends += (padded[ends] & 0xC0) == 0x80
-    return np.unique(ends)
+    return ends[np.append(True, ends[1:] != ends[:-1])]
 
 
-def seeds_of(data: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Where the seeds of a text begin and end, and their digests."""
-    raw = np.frombuffer(data, np.uint8)
-    ends = boundaries(raw)
-    ends = ends[ends >= SEED]
+def seeds_of(raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which of the texts between ``edges`` each seed is in, and where in ``raw`` it begins and ends."""
+    long = np.flatnonzero(np.diff(edges) >= SEED + SPAN - 1)
+    found = [boundaries(raw[a:b]) + a for a, b in zip(edges[long].tolist(), edges[long + 1].tolist())]
+    row = np.repeat(long, [len(ends) for ends in found])
+    ends = np.concatenate([np.zeros(0, np.int64), *found])
+    whole = ends >= edges[row] + SEED
+    row, ends = row[whole], ends[whole]
     begins = ends - SEED
     for _ in range(3):  # no seed begins within a character
         begins += (raw[begins] & 0xC0) == 0x80
-    digest = xxhash.xxh3_64_digest
-    return begins, ends, [digest(data[a:b]) for a, b in zip(begins.tolist(), ends.tolist())]
+    return row, begins, ends
 
 
 def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -115,32 +118,33 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in bounded(batches, 1, 4 << 20):
-            row, at, sizes, digests = [], [], [], []
-            for i, text in enumerate(part.column(1).to_pylist()):
-                data = (text or "").encode()
-                if len(data) < SEED + SPAN - 1:
-                    continue
-                begins, ends, found = seeds_of(data)
-                raw = np.frombuffer(data, np.uint8)
-                blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
-                first = ~blank
-                first[1:] &= blank[:-1]
-                count = np.concatenate([[0], np.cumsum(first)])
-                row.append(np.full(len(ends), i))
-                at.append((begins << 32) | count[begins])
-                counts = {
-                    "words": count[ends] - count[begins],
-                    "before": count[begins] - count[np.maximum(begins - NEAR, 0)],
-                    "after": count[np.minimum(ends + NEAR, len(raw))] - count[ends],
-                }
-                sizes.append(sum((counts[name] << (BITS * k) for k, name in enumerate(SIZES)), (SEED - (ends - begins)) << (BITS * len(SIZES))))
-                digests += found
-            if not row:
+            texts = pc.fill_null(part.column(1).cast(pa.large_string()), "")
+            _, offsets, data = texts.buffers()
+            edges = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            raw = np.frombuffer(data or b"", np.uint8)[edges[0] : edges[-1]]
+            edges = edges - edges[0]
+            row, begins, ends = seeds_of(raw, edges)
+            if not len(row):
                 continue
+            blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
+            first = ~blank
+            first[1:] &= blank[:-1]
+            opens = edges[row]
+            first[opens] = ~blank[opens]
+            count = np.zeros(len(raw) + 1, np.int32)
+            np.cumsum(first, out=count[1:])
+            counts = {
+                "words": count[ends] - count[begins],
+                "before": count[begins] - count[np.maximum(begins - NEAR, opens)],
+                "after": count[np.minimum(ends + NEAR, edges[row + 1])] - count[ends],
+            }
+            sizes = sum((counts[name] << (BITS * k) for k, name in enumerate(SIZES)), (SEED - (ends - begins)) << (BITS * len(SIZES)))
+            text, digest = raw.tobytes(), xxhash.xxh3_64_digest
+            digests = [digest(text[a:b]) for a, b in zip(begins.tolist(), ends.tolist())]
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column(0).take(pa.array(np.concatenate(row))), pa.array(np.concatenate(at), pa.int64()),
-                    pa.array(np.concatenate(sizes), pa.int32()), pa.array(np.frombuffer(b"".join(digests), np.int64).copy()),
+                    part.column(0).take(pa.array(row)), pa.array(((begins - opens) << 32) | (count[begins] - count[opens])),
+                    pa.array(sizes.astype(np.int32)), pa.array(np.frombuffer(b"".join(digests), np.int64)),
                 ],
                 names=["id", "at", "sizes", "digest"],
             )

@@ -275,3 +275,21 @@ def test_chunks_resist_shifts():
 def test_repeated_passages_on_odd_rows(odd):
     found = chunks.repeats(odd).collect()
     assert {(r.doc_id, tuple(r.keep_ids)) for r in found} == {(9, (8,))} or {r.doc_id for r in found} == {8, 9}
+
+
+def test_seeds_of_a_batch_are_those_of_each_text():
+    rng = random.Random(11)
+    parts = [*"ab é\U0001f642\n\t ", "word", "  ", "中文"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.choice([0, 20, 60, 400]))).encode() for _ in range(200)]
+    texts += [b"x" * (chunks.SEED + chunks.SPAN - 2), b"x" * (chunks.SEED + chunks.SPAN - 1)]
+    edges = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    row, begins, ends = chunks.seeds_of(raw, edges)
+    assert (np.diff(row) >= 0).all() and row[-1] == len(texts) - 1 and len(texts) - 2 not in row
+    for i, t in enumerate(texts):
+        mine = row == i
+        assert (np.unique(want := chunks.boundaries(np.frombuffer(t, np.uint8))) == want).all()
+        want = [e for e in want.tolist() if e >= chunks.SEED] if len(t) >= chunks.SEED + chunks.SPAN - 1 else []
+        assert (ends[mine] - edges[i]).tolist() == want
+        for a, b in zip(begins[mine].tolist(), ends[mine].tolist()):
+            assert edges[i] <= a and chunks.SEED - 3 <= b - a <= chunks.SEED and raw[a:b].tobytes().decode()
