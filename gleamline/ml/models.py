@@ -24,9 +24,8 @@ from gleamline.ml import kernel, network
 from gleamline.ml.features import FeatureSpace
 from gleamline.ml.nearest import knn_predict
 
-# A tree's nodes live on the driver: at most 2 per row, or 2 to the depth.
-DEEP_TREE_ROWS = 100_000
-DEEP, SHALLOW = 30, 15
+# As deep as Spark's trees can grow, at every number of rows.  A tree's nodes live on the driver, at most two per row.
+DEPTH = 30
 HIDDEN = 100
 # Weights a model may hold on the driver.
 MAX_WEIGHTS = 20_000_000
@@ -42,10 +41,6 @@ class Training:
     classes: int
     seed: int
 
-    @property
-    def depth(self) -> int:
-        return DEEP if self.rows <= DEEP_TREE_ROWS else SHALLOW
-
 
 @dataclass
 class Fitted:
@@ -122,11 +117,11 @@ def knn_classifier(t: Training) -> Fitted:
 
 # Deep trees remember each row's node, or every level would walk all trees again.
 def tree_classifier(t: Training) -> Fitted:
-    return _spark(DecisionTreeClassifier(seed=t.seed, maxDepth=t.depth, cacheNodeIds=True), t)
+    return _spark(DecisionTreeClassifier(seed=t.seed, maxDepth=DEPTH, cacheNodeIds=True), t)
 
 
 def forest_classifier(t: Training) -> Fitted:
-    return _spark(RandomForestClassifier(seed=t.seed, numTrees=100, maxDepth=t.depth, cacheNodeIds=True), t)
+    return _spark(RandomForestClassifier(seed=t.seed, numTrees=100, maxDepth=DEPTH, cacheNodeIds=True), t)
 
 
 def svm_classifier(t: Training) -> Fitted:
@@ -148,11 +143,11 @@ def knn_regressor(t: Training) -> Fitted:
 
 
 def tree_regressor(t: Training) -> Fitted:
-    return _spark(DecisionTreeRegressor(seed=t.seed, maxDepth=t.depth, cacheNodeIds=True), t)
+    return _spark(DecisionTreeRegressor(seed=t.seed, maxDepth=DEPTH, cacheNodeIds=True), t)
 
 
 def forest_regressor(t: Training) -> Fitted:
-    return _spark(RandomForestRegressor(seed=t.seed, numTrees=100, maxDepth=t.depth, cacheNodeIds=True), t)
+    return _spark(RandomForestRegressor(seed=t.seed, numTrees=100, maxDepth=DEPTH, cacheNodeIds=True), t)
 
 
 def svm_regressor(t: Training) -> Fitted:

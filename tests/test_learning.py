@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from checks.views import load
@@ -244,6 +245,15 @@ def test_chosen_models():
     assert len(models.chosen(models.CLUSTERERS, ["kmeans"])) == 2
 
 
+def test_trees_grow_alike_at_every_number_of_rows(spark):
+    """Every split takes the largest value off, so a tree is as deep as it may grow."""
+    data = spark.createDataFrame([([float(i)], 4.0**i) for i in range(32)], "num array<double>, label double")
+    data = data.withColumn("features", array_to_vector("num"))
+    for rows in (32, 200_000):
+        training = models.Training(data, FeatureSpace.fit(data.select("label")), rows, 0, 1)
+        assert models.tree_regressor(training).model.depth == 30
+
+
 def check_board(result):
     rows = result.leaderboard.collect()
     assert [r["rank"] for r in rows] == list(range(1, len(rows) + 1))
