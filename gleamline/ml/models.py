@@ -27,8 +27,6 @@ from gleamline.ml.nearest import knn_predict
 # As deep as Spark's trees can grow, at every number of rows.  A tree's nodes live on the driver, at most two per row.
 DEPTH = 30
 HIDDEN = 100
-# Weights a model may hold on the driver.
-MAX_WEIGHTS = 20_000_000
 
 
 @dataclass
@@ -82,11 +80,6 @@ class Fitted:
         return cls(note["kind"], model, table, note["state"])
 
 
-def _check_width(weights: int) -> None:
-    if weights > MAX_WEIGHTS:
-        raise ValueError(f"{weights} weights do not fit the driver")
-
-
 def _spark(estimator, t: Training) -> Fitted:
     return Fitted("spark", estimator.fit(t.data))
 
@@ -151,7 +144,6 @@ def svm_regressor(t: Training) -> Fitted:
 
 
 def mlp_regressor(t: Training) -> Fitted:
-    _check_width(t.space.width * HIDDEN)
     return Fitted("network", state=network.fit(t.data, t.space, HIDDEN, 500, t.seed))
 
 

@@ -1,7 +1,7 @@
 """One-hidden-layer regression network, fitted by full-batch L-BFGS.
 
-Every step is one pass of the cached rows: tasks return the loss and gradient
-of their rows, which are added up; only the weights travel.
+Every step is one pass of the rows, packed and written once: tasks return the loss
+and the gradient of the weights their rows touch, which are added up; only the weights travel.
 """
 
 from __future__ import annotations
@@ -11,13 +11,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleamline.session import scratch
+
 ALPHA = 1e-4
 TOLERANCE = 1e-5  # of the loss, whose target is standardised
 PATIENCE = 5
 MEMORY = 10
-# Partial gradients the driver adds up itself; more are first added in groups.
-DIRECT_PARTS = 64
-GRADIENT = "loss double, gradient array<double>"
+# Rows of partial gradients the driver adds up itself; more are first added by tasks.
+DIRECT_ROWS = 4096
+# Rows whose hidden units are worked out at once.
+STEP_ROWS = 2048
+BLOCKS = "n int, num binary, slots binary, y binary"
+GRADIENT = "at int, loss double, gradient array<double>"
 
 
 def _layers():
@@ -34,17 +39,24 @@ def _layers():
     def inputs(b, numbers, bases):
         num = np.stack(b["num"].to_numpy()) if numbers else np.zeros((len(b), 0))
         slots = np.stack(b["slots"].to_numpy()) if len(bases) else np.zeros((len(b), 0), int)
+        return num, levels_of(slots, numbers, bases)
+
+    def levels_of(slots, numbers, bases):
         starts = numbers + np.concatenate([[0], np.cumsum(bases)])[:-1] if len(bases) else []
-        return num, [(slots[:, c] >= 0, int(s) + slots[:, c]) for c, s in enumerate(starts)]
+        return [(slots[:, c] >= 0, int(s) + slots[:, c]) for c, s in enumerate(starts)]
 
     def forward(num, levels, first, bias, second, last):
-        z = bias + num @ first[: num.shape[1]]
+        z = num @ first[: num.shape[1]]
+        z += bias
         for seen, at in levels:
-            z[seen] += first[at[seen]]
-        h = np.maximum(z, 0.0)
+            if seen.all():
+                z += first[at]
+            else:
+                z[seen] += first[at[seen]]
+        h = np.maximum(z, 0.0, out=z)
         return h, h @ second + last
 
-    return unpack, inputs, forward
+    return unpack, inputs, levels_of, forward
 
 
 def fit(train: DataFrame, space, hidden: int, max_iter: int, seed: int) -> dict:
@@ -57,59 +69,100 @@ def fit(train: DataFrame, space, hidden: int, max_iter: int, seed: int) -> dict:
     w = np.concatenate([first, np.zeros(hidden), second, [0.0]])
     row = train.agg(F.avg("label"), F.stddev_pop("label"), F.count("label")).first()
     mean, spread, rows = float(row[0]), float(row[1]) or 1.0, row[2]
-    data = train.select("num", "slots", ((F.col("label") - mean) / spread).alias("y")).persist()
-    try:
-        w = _minimise(lambda v: _loss(data, v, numbers, bases, hidden, rows), w, max_iter)
-    finally:
-        data.unpersist()
+    data = train.select("num", "slots", ((F.col("label") - mean) / spread).alias("y"))
+    with scratch(_blocks(data, numbers, bases)) as blocks:
+        w = _minimise(lambda v: _descent(blocks, v, numbers, bases, hidden, rows), w, max_iter)
     return {
         "weights": w.tolist(), "numbers": numbers, "bases": bases, "hidden": hidden,
         "mean": mean, "spread": spread,
     }
 
 
+def _blocks(data, numbers, bases):
+    """Rows as matrices' bytes: a step reads them again without taking rows apart."""
+
+    def pack(batches):
+        for b in batches:
+            if len(b):
+                num = np.stack(b["num"].to_numpy()) if numbers else np.zeros((len(b), 0))
+                slots = np.stack(b["slots"].to_numpy()) if len(bases) else np.zeros((len(b), 0), int)
+                parts = num.astype(float).tobytes(), slots.astype(np.int32).tobytes(), b["y"].to_numpy(float).tobytes()
+                yield pd.DataFrame([(len(b), *parts)], columns=["n", "num", "slots", "y"])
+
+    return data.mapInPandas(pack, BLOCKS)
+
+
 def _loss(data, w, numbers, bases, hidden, rows):
-    """Half mean squared error with an L2 penalty, and its gradient."""
-    unpack, inputs, forward = _layers()
-    shared = data.sparkSession.sparkContext.broadcast(w)
+    """Half mean squared error of ``num``, ``slots`` and ``y`` with an L2 penalty, and its gradient."""
+    return _descent(_blocks(data, numbers, bases), w, numbers, bases, hidden, rows)
+
+
+def _descent(blocks, w, numbers, bases, hidden, rows):
+    """The loss and gradient over packed rows."""
+    unpack, _, levels_of, forward = _layers()
+    shared = blocks.sparkSession.sparkContext.broadcast(w)
+    width = numbers + sum(bases)
 
     def partial(batches):
         first, bias, second, last = unpack(shared.value, numbers, bases, hidden)
-        loss, g_first, g_bias = 0.0, np.zeros_like(first), np.zeros_like(bias)
-        g_second, g_last = np.zeros_like(second), 0.0
-        for b in batches:
-            if not len(b):
-                continue
-            num, levels = inputs(b, numbers, bases)
-            h, out = forward(num, levels, first, bias, second, last)
-            error = out - b["y"].to_numpy()
-            loss += 0.5 * float(error @ error)
-            g_second += h.T @ error
-            g_last += float(error.sum())
-            back = np.outer(error, second) * (h > 0)
-            g_bias += back.sum(0)
-            g_first[:numbers] += num.T @ back
-            for seen, at in levels:
-                np.add.at(g_first, at[seen], back[seen])
-        flat = np.concatenate([g_first.ravel(), g_bias, g_second, [g_last]])
-        yield pd.DataFrame({"loss": [loss], "gradient": [flat]})
+        loss, g_numbers, g_bias = 0.0, np.zeros((numbers, hidden)), np.zeros_like(bias)
+        g_second, g_last, g_levels = np.zeros_like(second), 0.0, {}
+        for batch in batches:
+            for n, *parts in batch[["n", "num", "slots", "y"]].itertuples(index=False):
+                all_num, all_slots = np.frombuffer(parts[0]).reshape(n, numbers), np.frombuffer(parts[1], np.int32).reshape(n, len(bases))
+                all_y = np.frombuffer(parts[2])
+                for at in range(0, n, STEP_ROWS):  # so many stay in a core's own memory
+                    num, y = all_num[at : at + STEP_ROWS], all_y[at : at + STEP_ROWS]
+                    levels = levels_of(all_slots[at : at + STEP_ROWS], numbers, bases)
+                    h, out = forward(num, levels, first, bias, second, last)
+                    error = out - y
+                    loss += 0.5 * float(error @ error)
+                    g_second += error @ h
+                    g_last += float(error.sum())
+                    back = error[:, None] * (h > 0)  # times second, which is the same for all rows
+                    g_bias += back.sum(0) * second
+                    g_numbers += (num.T @ back) * second
+                    for seen, level in levels:
+                        held, sums = add_by_level(level[seen], back[seen] if not seen.all() else back)
+                        for j, total in zip(held.tolist(), sums):
+                            g_levels[j] = g_levels[j] + total if j in g_levels else total
+        yield pd.DataFrame({
+            "at": [-1, *range(numbers), *g_levels],
+            "loss": [loss] + [0.0] * (numbers + len(g_levels)),
+            "gradient": [np.concatenate([g_bias, g_second, [g_last]]), *g_numbers, *(g * second for g in g_levels.values())],
+        })
+
+    def add_by_level(level, back):
+        """The levels there, and the sum of each one's rows."""
+        held, place = np.unique(level, return_inverse=True)
+        if len(held) <= 64:
+            return held, (np.arange(len(held))[:, None] == place[None, :]).astype(float) @ back
+        order = np.argsort(place, kind="stable")
+        starts = np.searchsorted(place[order], np.arange(len(held)))
+        return held, np.add.reduceat(back[order], starts, axis=0)
 
     def add(parts):
-        total = np.sum(np.stack(parts["gradient"].to_numpy()), axis=0)
-        return pd.DataFrame({"loss": [parts["loss"].sum()], "gradient": [total]})
-
-    parts = data.mapInPandas(partial, GRADIENT)
-    if data.rdd.getNumPartitions() > DIRECT_PARTS:
-        group = (F.spark_partition_id() % DIRECT_PARTS).alias("g")
-        parts = parts.groupBy(group).applyInPandas(add, GRADIENT)
-    summed = add(parts.toPandas())
+        return pd.DataFrame({
+            "at": [parts["at"].iloc[0]], "loss": [parts["loss"].sum()],
+            "gradient": [np.sum(np.stack(parts["gradient"].to_numpy()), axis=0)],
+        })
+
+    parts = blocks.mapInPandas(partial, GRADIENT)
+    # Few small partial gradients are added up here; more are first added where they are, a row of weights at a time.
+    if blocks.rdd.getNumPartitions() * (width + 1) > DIRECT_ROWS:
+        parts = parts.groupBy("at").applyInPandas(add, GRADIENT)
+    cut = width * hidden
+    loss, gradient = 0.0, np.zeros_like(w)
+    for at, part, values in parts.toPandas().itertuples(index=False):
+        loss += part
+        where = slice(cut, None) if at < 0 else slice(at * hidden, (at + 1) * hidden)
+        gradient[where] += values
     shared.destroy()
     penalised = w.copy()
-    cut = (numbers + sum(bases)) * hidden
     penalised[cut : cut + hidden] = 0.0
     penalised[-1] = 0.0
-    loss = (summed["loss"][0] + 0.5 * ALPHA * float(penalised @ penalised)) / rows
-    return loss, (summed["gradient"][0] + ALPHA * penalised) / rows
+    loss = (loss + 0.5 * ALPHA * float(penalised @ penalised)) / rows
+    return loss, (gradient + ALPHA * penalised) / rows
 
 
 def _minimise(objective, w, max_iter):
@@ -155,7 +208,7 @@ def _two_loop(gradient, pairs):
 
 
 def predict(df: DataFrame, state: dict) -> DataFrame:
-    unpack, inputs, forward = _layers()
+    unpack, inputs, _, forward = _layers()
     w, numbers, bases = np.array(state["weights"]), state["numbers"], state["bases"]
     hidden, mean, spread = state["hidden"], state["mean"], state["spread"]
     shared = df.sparkSession.sparkContext.broadcast(w)

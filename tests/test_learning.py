@@ -271,6 +271,35 @@ def test_wide_classifiers_are_trained(spark):
         assert fit(t).predict(t.data).where("prediction = label").count() == 40
 
 
+def test_wide_regressors_are_trained(spark):
+    t = wide_rows(spark)
+    for fit in (models.linear, models.mlp_regressor):
+        found = fit(t).predict(t.data).agg(F.max(F.abs(F.col("prediction") - F.col("label")))).first()[0]
+        assert found < 0.05
+
+
+def test_network_gradient_is_the_same_added_up_by_tasks(spark, monkeypatch):
+    """Rows in blocks of three, levels without rows, and more levels than one task sees."""
+    rng = np.random.default_rng(0)
+    rows = [(rng.normal(size=1).tolist(), [int(rng.integers(-1, 150)), i % 2], float(rng.normal())) for i in range(300)]
+    data = spark.createDataFrame(rows, "num array<double>, slots array<int>, y double").repartition(3)
+    w = rng.normal(size=(1 + 200 + 2) * 4 + 4 + 4 + 1)
+    loss, gradient = network._loss(data, w, 1, [200, 2], 4, 300)
+    monkeypatch.setattr(network, "DIRECT_ROWS", 0)
+    again, same = network._loss(data, w, 1, [200, 2], 4, 300)
+    assert again == pytest.approx(loss) and np.allclose(same, gradient)
+    x = np.zeros((300, 203))
+    for i, (num, slots, _) in enumerate(rows):
+        x[i, 0], x[i, 201 + slots[1]] = num[0], 1.0
+        if slots[0] >= 0:
+            x[i, 1 + slots[0]] = 1.0
+    first, bias, second, last = w[:812].reshape(203, 4), w[812:816], w[816:820], w[820]
+    h = np.maximum(x @ first + bias, 0.0)
+    back = np.outer(h @ second + last - [r[2] for r in rows], second) * (h > 0)
+    assert np.allclose(gradient[:812].reshape(203, 4) * 300, x.T @ back + network.ALPHA * first)
+    assert np.allclose(gradient[812:816] * 300, back.sum(0))
+
+
 def check_board(result):
     rows = result.leaderboard.collect()
     assert [r["rank"] for r in rows] == list(range(1, len(rows) + 1))
