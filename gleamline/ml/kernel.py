@@ -1,15 +1,14 @@
-"""Support vector machines with an RBF kernel: hinge and epsilon-insensitive loss, by dual block coordinate descent.
+"""Support vector machines with an RBF kernel: hinge and epsilon-insensitive loss, by an interior point method.
 
 The kernel is the one spanned by up to ``LANDMARKS`` training rows: a table of no more rows has its exact kernel,
-a larger one the kernel's projection on those rows.  Rows are lifted once and written in blocks.  In a round every
-block improves its own dual variables against the weights of the round, as if the other blocks did as much
-(their sum is then never worse), and the weights, one per landmark and class, are the sum of what the blocks return.  The
-driver holds weights and sums only; dual variables stay with their blocks in a written table, which a round replaces.
+a larger one the kernel's projection on those rows.  Rows are packed and written once in blocks, with their dual
+variables, which a round replaces.  A round is three passes: tasks move their rows' variables and return sums, of which one is the
+matrix of second derivatives between weights; then sums for the step that corrects the first one; then how far it may go.
+The driver holds weights and sums only, whatever the number of rows, and the rounds don't grow with the blocks.
 
 A round also measures the primal and the dual objective of the weights it begins with.  Descent ends when their gap
-is below ``GAP`` of the primal one, or after ``ROUNDS``; the gap reached is reported.  One block reaches the gap in a few
-rounds; with more blocks each moves less far in a round, and the rounds may end first.  The intercept is a weight like the others, on
-centred targets.  More than two classes are learned one against the rest.
+is below ``GAP`` of the primal one, or after ``ROUNDS``; the gap reached is reported.  The intercept is a weight like the
+others, on centred targets.  More than two classes are learned one against the rest, ``TOGETHER`` at a time.
 """
 
 from __future__ import annotations
@@ -24,17 +23,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleamline.ml.nearest import _kernel
-from gleamline.session import scratch
+from gleamline.session import scratch, spread
 
 LANDMARKS = 256
 BLOCK_ROWS = 16_384
 COST = 1.0
 EPSILON = 0.1
 GAP = 1e-3
-ROUNDS = 30
-EPOCHS = 40
+ROUNDS = 100
+# Classes learned in the same rounds.
+TOGETHER = 8
+# Rows whose kernel values are worked out at once.
+STEP_ROWS = 512
+# Sums of so many partitions the driver adds up itself.
+DIRECT_PARTS = 64
 
-BLOCKS = "block int, y binary, z binary, dual binary, loss double, gain double, change array<double>"
+BLOCKS = "n int, num binary, slots binary, label binary"
+STATE = f"{BLOCKS}, state binary, sums binary"
 
 
 def lift(num: np.ndarray, slots: np.ndarray, state: dict) -> np.ndarray:
@@ -70,125 +75,281 @@ def prepare(df: DataFrame, wide: tuple[int, int], gamma: float, seed: int, landm
     return state
 
 
-def improve(
-    y: np.ndarray, z: np.ndarray, dual: np.ndarray, weights: np.ndarray, parts: int, epsilon: float | None, cost: float, seed: int
-) -> np.ndarray:
-    """Dual variables after coordinate descent on one of ``parts`` blocks; ``epsilon`` is None for the hinge loss."""
-    rng, dual = np.random.default_rng(seed), dual.copy()
-    size = (parts * (z**2).sum(axis=1)).tolist()
-    for c in range(dual.shape[1]):  # each column is a problem of its own
-        here, target, now = weights[:, c].copy(), y[:, c].tolist(), dual[:, c].tolist()
-        for _ in range(EPOCHS):
-            moved = 0.0
-            for i in rng.permutation(len(target)).tolist():
-                row, before = z[i], now[i]
-                miss = target[i] - float(row @ here)
-                if epsilon is None:
-                    after = target[i] * min(max(target[i] * (before + miss / size[i]), 0.0), cost)
-                else:
-                    at = before * size[i] + miss
-                    after = math.copysign(min(max(abs(at) - epsilon, 0.0) / size[i], cost), at)
-                step = after - before
-                if step:
-                    now[i] = after
-                    here += (parts * step) * row
-                    moved = max(moved, abs(step))
-            if moved < 1e-4 * cost:
-                break
-        dual[:, c] = now
-    return dual
+def sides(label: np.ndarray, one: int | None, epsilon: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """Signs and linear terms of rows' dual variables: one a row for the hinge (class ``one`` or not), two for ``epsilon``."""
+    if epsilon is None:
+        return np.where(label == one, 1.0, -1.0)[:, None], np.ones((len(label), 1))
+    return np.broadcast_to([1.0, -1.0], (len(label), 2)), np.stack([label - epsilon, -label - epsilon], axis=1)
 
 
-def objectives(y: np.ndarray, z: np.ndarray, dual: np.ndarray, weights: np.ndarray, epsilon: float | None, cost: float) -> tuple[float, float]:
-    """Sums of losses and of the dual's linear part; half the weights' square is left to the caller."""
-    out = z @ weights
-    if epsilon is None:
-        return cost * float(np.maximum(0.0, 1.0 - y * out).sum()), float((y * dual).sum())
-    return cost * float(np.maximum(0.0, np.abs(y - out) - epsilon).sum()), float((y * dual).sum() - epsilon * np.abs(dual).sum())
+def centred(linear: np.ndarray, level: float, cost: float) -> np.ndarray:
+    """Dual variables ``a`` between 0 and ``cost`` for weights of 0, with ``t`` and ``x``: ``t - x`` is minus the linear term, products with ``a`` and ``cost - a`` are the level."""
+    x = np.abs(linear) * cost / (4.0 * level)
+    near = 0.5 * cost * (1.0 - 2.0 * x / (1.0 + np.sqrt(1.0 + 4.0 * x * x)))
+    near = np.maximum(near, 0.25 * cost / (1.0 + x))  # all digits are lost far out
+    a = np.where(linear > 0, cost - near, near)
+    small = level / (cost - near)
+    return np.stack([a, np.where(linear > 0, small, small - linear), np.where(linear > 0, small + linear, small)])
+
+
+def toward(now: np.ndarray, sign: np.ndarray, moved: np.ndarray, cost: float, level: float = 0.0, affine: np.ndarray | None = None) -> np.ndarray:
+    """The step of rows' variables that goes with outputs ``moved``, to products of ``level``; ``affine`` is the step it corrects."""
+    a, t, x = now
+    low, high = level - a * t, level - (cost - a) * x
+    if affine is not None:
+        low, high = low - affine[0] * affine[1], high + affine[0] * affine[2]
+    step = (low / a - high / (cost - a) - sign * moved[:, None]) / (t / a + x / (cost - a))
+    return np.stack([step, (low - t * step) / a, (high + x * step) / (cost - a)])
+
+
+def reach(now: np.ndarray, step: np.ndarray, cost: float) -> float:
+    """One over the part of the step at which a first variable becomes 0, or the dual one ``cost``."""
+    return max(float((-step / now).max(initial=0.0)), float((step[0] / (cost - now[0])).max(initial=0.0)))
 
 
 def fit(
     df: DataFrame, state: dict, rows: int, classes: int = 0, epsilon: float | None = None, cost: float = COST,
-    seed: int = 42, block_rows: int = BLOCK_ROWS, rounds: int = ROUNDS, gap: float = GAP,
+    block_rows: int = BLOCK_ROWS, rounds: int = ROUNDS, gap: float = GAP,
 ) -> dict:
     """``state`` with ``weights``, ``centre``, ``gap``, ``rounds`` and ``support``.
 
     ``df`` has ``id``, ``num``, ``slots`` and ``label``; ``classes`` is 0 for regression.
     """
-    parts = max(1, math.ceil(rows / block_rows))
-    regress = classes == 0
-    columns = 1 if regress or classes <= 2 else classes
-    centre = float(df.agg(F.avg("label")).first()[0] or 0.0) if regress else 0.0
-    width = len(state["root"][0]) + 1 if state["root"] else 1
-
-    def targets(label: np.ndarray) -> np.ndarray:
-        if regress:
-            return (label - centre)[:, None]
-        if columns == 1:
-            return np.where(label == 1, 1.0, -1.0)[:, None]
-        return np.where(label[:, None] == np.arange(classes), 1.0, -1.0)
-
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        z, y = lift(*_stacked(rows, state), state), targets(rows["label"].to_numpy(float))
-        block = int(rows["block"].iloc[0])
-        return pd.DataFrame(
-            [(block, y.tobytes(), z.tobytes(), np.zeros_like(y).tobytes(), 0.0, 0.0, [0.0] * (width * columns))],
-            columns=["block", "y", "z", "dual", "loss", "gain", "change"],
-        )
-
-    def step(weights: np.ndarray):
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                for row in frame.itertuples(index=False):
-                    y, z, dual = (np.frombuffer(b, float).reshape(-1, w) for b, w in ((row.y, columns), (row.z, width), (row.dual, columns)))
-                    loss, gain = objectives(y, z, dual, weights, epsilon, cost)
-                    after = improve(y, z, dual, weights, parts, epsilon, cost, seed + row.block)
-                    change = (z.T @ (after - dual)).ravel().tolist()
-                    yield pd.DataFrame(
-                        [(row.block, row.y, row.z, after.tobytes(), loss, gain, change)], columns=list(frame.columns)
-                    )
-
-        return run
-
-    block = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
-    # Rows are few bytes before they are lifted: without a number of its own the shuffle would end in one task.
-    dealt = df.select("num", "slots", "label", block.alias("block")).repartition(16 * parts, "block")
-    packed = dealt.groupBy("block").applyInPandas(pack, BLOCKS)
-    weights, reached, done = np.zeros((width, columns)), math.inf, 0
+    about = df.agg(F.avg("label"), F.stddev_pop("label")).first()
+    centre, level = (float(about[0] or 0.0), 0.25 * cost * (about[1] or 1.0)) if classes == 0 else (0.0, 0.25 * cost)
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            num, slots = _stacked(frame, state)
+            label = frame["label"].to_numpy(float) - centre
+            for at in range(0, len(frame), block_rows):
+                some = [part[at : at + block_rows] for part in (num, slots, label)]
+                yield pd.DataFrame([(len(some[2]), *(part.tobytes() for part in some))], columns=["n", "num", "slots", "label"])
+
+    dealt = spread(df, rows, "id", block_rows).select("num", "slots", "label")
+    # Of one or two classes the second is told from the first; nothing is told apart in a regression.
+    ones = [None] if classes == 0 else [1] if classes <= 2 else list(range(classes))
+    with scratch(dealt.mapInPandas(pack, BLOCKS)) as packed:
+        found: list[Descent] = []
+        for at in range(0, len(ones), TOGETHER):
+            found += _descend(packed, state, ones[at : at + TOGETHER], level, epsilon, cost, rounds, gap)
+        support = _support(packed, state, ones, found, epsilon)
+    return {
+        **state, "weights": np.stack([c.best for c in found], axis=1).tolist(), "centre": centre, "classes": classes,
+        "gap": float(max(c.reached for c in found)), "rounds": max(c.rounds for c in found), "support": support,
+    }
+
+
+def _root_of(state: dict) -> np.ndarray:
+    return np.array(state["root"], float).reshape(len(state["root"]), -1)
+
+
+def _rows_of(row, state: dict) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """A block's rows, some at a time: which, their kernel values with the landmarks, and labels."""
+    _, squared, _ = _kernel()
+    wide, count = state["wide"], len(state["landmarks_num"])
+    base = np.array(state["landmarks_num"], float).reshape(count, wide[0])
+    base_slots = np.array(state["landmarks_slots"], np.int64).reshape(count, wide[1])
+    num, slots = np.frombuffer(row.num).reshape(row.n, wide[0]), np.frombuffer(row.slots, np.int64).reshape(row.n, wide[1])
+    label = np.frombuffer(row.label)
+    for at in range(0, row.n, STEP_ROWS):
+        some = slice(at, at + STEP_ROWS)
+        near = squared(num[some], slots[some], base, base_slots)
+        near *= -state["gamma"]
+        yield some, np.exp(near, out=near), label[some]
+
+
+class Descent:
+    """One column's weights on the driver: ``at``, the step tried from there, and the best weights so far."""
+
+    def __init__(self, size: int, gap: float) -> None:
+        self.at, self.size, self.wanted, self.ended = np.zeros(size), size, gap, False
+        # No dual variable at all is a solution of the dual, of objective 0.
+        self.best, self.primal, self.dual, self.reached, self.margin, self.rounds = self.at, math.inf, 0.0, math.inf, 0.0, 0
+        self.affine, self.step, self.level, self.part = np.zeros(size), np.zeros(size), 0.0, 0.0
+
+    def measure(self, sums: np.ndarray, done: int) -> None:
+        """Sums over rows at ``at``: of losses, linear terms, products and their number, and the vectors and matrix of ``_move``."""
+        size = self.size
+        loss, linear, self.products, self.count = sums[:4]
+        first, self.pull, self.push = sums[4 : 4 + 3 * size].reshape(3, size)
+        primal, dual = loss + 0.5 * float(self.at @ self.at), linear - 0.5 * float(first @ first)
+        mean = self.products / max(self.count, 1.0)
+        if primal < self.primal:
+            self.best, self.primal, self.margin = self.at, primal, math.sqrt(mean)
+        self.dual, self.rounds = max(self.dual, dual), done
+        self.reached = (self.primal - self.dual) / max(1.0, abs(self.primal))
+        self.ended = self.reached <= self.wanted
+        if not self.ended:
+            second = np.zeros((size, size))
+            second[np.triu_indices(size)] = sums[4 + 3 * size :]
+            self.bent = second + second.T - np.diag(second.diagonal()) + np.eye(size)
+            self.affine = np.linalg.solve(self.bent, first - self.at + self.pull)
+
+    def correct(self, sums: np.ndarray) -> None:
+        """After the affine step's reach, its products' second order, and the vector of its error."""
+        part = min(1.0, 1.0 / max(sums[0], 1e-300))
+        left = (1.0 - part) * self.products + part**2 * sums[1]
+        self.level = self.products / self.count * min(max(left / self.products, 0.0), 1.0) ** 3
+        self.step = self.affine + np.linalg.solve(self.bent, self.level * self.push + sums[2:])
+
+    def go(self, sums: np.ndarray) -> None:
+        self.part = min(1.0, 0.99 / max(sums[0], 1e-300))
+        self.at = self.at + self.part * self.step
+
+
+def _descend(
+    packed: DataFrame, state: dict, ones: list, level: float, epsilon: float | None, cost: float, rounds: int, gap: float
+) -> list[Descent]:
+    """The descent of each of ``ones``, the class told from the rest."""
+    size, width = _root_of(state).shape[1] + 1, 1 if epsilon is None else 2
+    columns = [Descent(size, gap) for _ in ones]
+
+    def begin(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                label = np.frombuffer(row.label)
+                began = np.stack([centred(sides(label, one, epsilon)[1], level, cost) for one in ones])
+                yield pd.DataFrame([(*row, began.tobytes(), b"")], columns=[*frame.columns, "state", "sums"])
+
     live = ExitStack()
     try:
-        table = live.enter_context(scratch(packed))
-        while done < rounds:
-            done += 1
+        table = live.enter_context(scratch(packed.mapInPandas(begin, STATE)))
+        for done in range(1, rounds + 1):
             following = ExitStack()
-            after = following.enter_context(scratch(table.mapInPandas(step(weights.copy()), BLOCKS)))
-            sums = after.agg(F.sum("loss").alias("loss"), F.sum("gain").alias("gain")).first()
-            half = 0.5 * float((weights**2).sum())
-            primal, dual = (sums["loss"] or 0.0) + half, (sums["gain"] or 0.0) - half
-            reached = (primal - dual) / max(1.0, abs(primal))
-            if reached <= gap:
-                following.close()
-                break
-            moved = after.select(F.posexplode("change").alias("at", "by")).groupBy("at").agg(F.sum("by").alias("by"))
-            for r in moved.collect():  # a number per weight
-                weights[divmod(r["at"], columns)] += r["by"]
+            moved = _move(state, ones, columns, width, epsilon, cost)
+            after = following.enter_context(scratch(table.mapInPandas(moved, STATE)))
             live.close()  # the table before is no longer read
             table, live = after, following
-        support = _support(table, columns)
+            open_ = [c for c in columns if not c.ended]
+            for c, sums in zip(open_, _added(table.select("sums"), len(open_))):
+                c.measure(sums, done)
+            columns_left = [c for c in columns if not c.ended]
+            if not columns_left or done == rounds:
+                break
+            for learn, corrected in ((Descent.correct, False), (Descent.go, True)):
+                tried = _try(state, ones, columns, width, epsilon, cost, corrected)
+                found = table.select("n", "num", "slots", "label", "state").mapInPandas(tried, "sums binary").toPandas()["sums"]
+                parts = np.stack([np.frombuffer(b).reshape(len(columns_left), -1) for b in found])
+                for i, c in enumerate(columns_left):
+                    learn(c, np.concatenate([[parts[:, i, 0].max()], parts[:, i, 1:].sum(axis=0)]))
     finally:
         live.close()
-    return {**state, "weights": weights.tolist(), "centre": centre, "classes": classes, "gap": reached, "rounds": done, "support": support}
+    return columns
 
 
-def _support(table: DataFrame, columns: int) -> int:
-    """Rows with a dual variable that isn't zero."""
+def _added(sums: DataFrame, columns: int) -> np.ndarray:
+    """Blocks' sums added up, a row for each column."""
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
         for frame in frames:
-            duals = [np.frombuffer(b, float).reshape(-1, columns) for b in frame["dual"]]
-            yield pd.DataFrame({"n": [int((d != 0).any(axis=1).sum()) for d in duals]})
+            for b in frame["sums"]:
+                total = np.frombuffer(b) if total is None else total + np.frombuffer(b)
+        if total is not None:
+            yield pd.DataFrame({"sums": [total.tobytes()]})
+
+    found = sums.coalesce(DIRECT_PARTS).mapInPandas(add, "sums binary").toPandas()["sums"]
+    return np.sum([np.frombuffer(b) for b in found], axis=0).reshape(columns, -1)
+
+
+def _move(state: dict, ones: list, columns: list[Descent], width: int, epsilon: float | None, cost: float):
+    """The pass that goes the driver's step in every block and returns sums of what is then there, for columns that go on."""
+    shape = _root_of(state)
+    size = shape.shape[1] + 1
+    upper = np.triu_indices(size)
+    # Weights are applied to kernel values through the landmarks' root.
+    applied = [
+        (i, ones[i], [np.append(shape @ v[:-1], v[-1]) for v in (c.at, c.affine, c.step)], c.level, c.part)
+        for i, c in enumerate(columns) if not c.ended
+    ]
+    several = len(ones)
+
+    def move(row) -> tuple[bytes, bytes]:
+        held = np.frombuffer(row.state).reshape(several, 3, row.n, width).copy()
+        totals = np.zeros((len(applied), 4 + 3 * size))
+        seconds = np.zeros((len(applied), size, size))
+        for some, near, label in _rows_of(row, state):
+            z = np.ones((len(near), size))
+            np.matmul(near, shape, out=z[:, :-1])
+            for j, (i, one, (at, affine, step), level, part) in enumerate(applied):
+                sign, linear = sides(label, one, epsilon)
+                now = held[i][:, some]
+                if part:
+                    first = toward(now, sign, near @ affine[:-1] + affine[-1], cost)
+                    now += part * toward(now, sign, near @ step[:-1] + step[-1], cost, level, first)
+                a, t, x = now
+                # A row is at a loss on one side at most.
+                left = linear - sign * (near @ at[:-1] + at[-1])[:, None]
+                weight = 1.0 / (t / a + x / (cost - a))
+                totals[j, 0] += cost * float(np.maximum(left, 0.0).sum())
+                totals[j, 1] += float((linear * a).sum())
+                totals[j, 2] += float((a * t + (cost - a) * x).sum())
+                totals[j, 3] += 2 * a.size
+                vectors = [sign * a, sign * weight * (x - t), sign * weight * (1.0 / a - 1.0 / (cost - a))]
+                totals[j, 4:] += (np.stack([v.sum(axis=1) for v in vectors]) @ z).ravel()
+                scaled = z * np.sqrt(weight.sum(axis=1))[:, None]
+                seconds[j] += scaled.T @ scaled
+        sums = np.hstack([totals, seconds[:, upper[0], upper[1]]])
+        return held.tobytes(), sums.tobytes()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                yield pd.DataFrame([(row.n, row.num, row.slots, row.label, *move(row))], columns=list(frame.columns))
+
+    return run
+
 
-    return table.select("dual").mapInPandas(count, "n long").agg(F.sum("n")).first()[0] or 0
+def _try(state: dict, ones: list, columns: list[Descent], width: int, epsilon: float | None, cost: float, corrected: bool):
+    """The pass that measures a step without going it: its reach and, of the affine one, what is left to correct."""
+    shape = _root_of(state)
+    size = shape.shape[1] + 1
+    applied = [
+        (i, ones[i], [np.append(shape @ v[:-1], v[-1]) for v in (c.affine, c.step)], c.level)
+        for i, c in enumerate(columns) if not c.ended
+    ]
+    several = len(ones)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals = np.zeros((len(applied), 1 if corrected else 2 + size))
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                held = np.frombuffer(row.state).reshape(several, 3, row.n, width)
+                for some, near, label in _rows_of(row, state):
+                    for j, (i, one, (affine, step), level) in enumerate(applied):
+                        sign, now = sides(label, one, epsilon)[0], held[i][:, some]
+                        way = toward(now, sign, near @ affine[:-1] + affine[-1], cost)
+                        if corrected:
+                            way = toward(now, sign, near @ step[:-1] + step[-1], cost, level, way)
+                        totals[j, 0] = max(totals[j, 0], reach(now, way, cost))
+                        if not corrected:
+                            a, t, x = now
+                            totals[j, 1] += float((way[0] * (way[1] - way[2])).sum())
+                            error = -(way[0] * way[1]) / a - (way[0] * way[2]) / (cost - a)
+                            error = (sign * error / (t / a + x / (cost - a))).sum(axis=1)
+                            totals[j, 2:-1] += (error @ near) @ shape
+                            totals[j, -1] += float(error.sum())
+        yield pd.DataFrame({"sums": [totals.tobytes()]})
+
+    return run
+
+
+def _support(packed: DataFrame, state: dict, ones: list, found: list[Descent], epsilon: float | None) -> int:
+    """Rows at or past the margin of one of the columns, as near as its variables tell 0 from others: those with a dual variable."""
+    applied = [(one, np.append(_root_of(state) @ c.best[:-1], c.best[-1]), c.margin) for one, c in zip(ones, found) if c.dual > 0]
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                for _, near, label in _rows_of(row, state):
+                    held = np.zeros(len(label), bool)
+                    for one, at, margin in applied:
+                        sign, linear = sides(label, one, epsilon)
+                        held |= (linear - sign * (near @ at[:-1] + at[-1])[:, None] > -margin).any(axis=1)
+                    yield pd.DataFrame({"n": [int(held.sum())]})
+
+    return packed.mapInPandas(count, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def predict(df: DataFrame, state: dict) -> DataFrame:

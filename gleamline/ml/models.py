@@ -93,7 +93,7 @@ def _kernel_machine(t: Training, classes: int = 0, epsilon: float | None = None)
     wide = (len(t.space.numbers), len(t.space.texts))
     gamma = 1.0 / (t.space.width * (t.space.variance or 1.0))
     state = kernel.prepare(t.data, wide, gamma, t.seed)
-    return Fitted("kernel", state=kernel.fit(t.data, state, t.rows, classes, epsilon, seed=t.seed))
+    return Fitted("kernel", state=kernel.fit(t.data, state, t.rows, classes, epsilon))
 
 
 def logistic(t: Training) -> Fitted:

@@ -84,6 +84,14 @@ def test_classification_equals_the_exact_dual(spark):
     assert clear.mean() > 0.9 and (predicted(df, state) == (out > 0))[clear].all()
 
 
+def test_rounds_reach_the_gap_in_any_number_of_blocks(spark):
+    """Many blocks of few rows descend as one block does: the sums over them are the same."""
+    data = rows(200, 1, curve)
+    for how in ({}, {"block_rows": 7}):
+        df, state = machine(spark, data, epsilon=0.1, **how)
+        assert state["gap"] <= kernel.GAP and state["rounds"] <= 30
+
+
 def test_many_classes_and_fewer_landmarks_than_rows(spark):
     data = rows(600, 3, lambda x, s, rng: float(int(x[0] > 0.3) + int(x[1] > 0)))
     df, state = machine(spark, data, classes=3, landmarks=40)
