@@ -260,15 +260,15 @@ def wide_rows(spark):
     """A few rows, said to be of more features than the driver was thought to hold weights for."""
     rows = [(i, [float(i % 7), float(i % 2)], [], float(i % 2)) for i in range(40)]
     data = spark.createDataFrame(rows, "id bigint, num array<double>, slots array<int>, label double")
-    data = data.withColumn("features", array_to_vector("num"))
+    data = stage(data.withColumn("features", array_to_vector("num")))  # as a training's rows are
     space = SimpleNamespace(width=30_000_000, variance=1.0, numbers={"a": None, "b": None}, texts=[], sizes={})
     return models.Training(data, space, 40, 2, 1)
 
 
 def test_wide_classifiers_are_trained(spark):
     t = wide_rows(spark)
-    for fit in (models.logistic, models.tree_classifier):
-        assert fit(t).predict(t.data).where("prediction = label").count() == 40
+    assert models.logistic(t).model.coefficients[1] > 1.0
+    assert models.tree_classifier(t).model.depth == 1
 
 
 def test_wide_regressors_are_trained(spark):
